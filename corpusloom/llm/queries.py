@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+
+    return token_files.read_documents(token_files.write_corpus(table(spark, sf_dir, "documents"), end_id=2))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"))[0]
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    read = media.read_media(media.encode_media(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.size("fp_times").cast("string"), F.lit(":"), F.sha2(F.concat(F.concat_ws(",", F.col("fp_times").cast("array<string>")), F.lit("|"), F.concat_ws(",", F.col("fp_codes").cast("array<string>"))), 256)).alias("feature"),
+    )
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
