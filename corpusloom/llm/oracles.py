@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents),
+placed AS (SELECT s.doc_id, s.bytes, s.h, d.depth::INTEGER AS depth, s.h >> (32 - d.depth) AS cell FROM sized s, range(0, 33) AS d(depth)),
+total AS (SELECT *, sum(bytes) OVER (PARTITION BY depth, cell)::BIGINT AS shard_bytes FROM placed),
+fit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM total WHERE shard_bytes <= 33554432)
+SELECT doc_id, substr(lpad(bin(h), 32, '0'), 1, depth) AS shard, depth, bytes, shard_bytes FROM fit WHERE k = 1
+"""
+
 OP8 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -42,4 +51,4 @@ FROM ruled
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8, "op10_url_filters": OP10}
+    return {"op1_sharding": OP1, "op8_chat_formatting": OP8, "op10_url_filters": OP10}
