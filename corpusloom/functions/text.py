@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+def strip(x: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(x, "^\\s+|\\s+$", "")
+
+
 def squash(x: Column) -> Column:
     """Runs of ASCII white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(x, BLANKS, " "))
@@ -68,17 +73,17 @@ def grams(df: DataFrame, key: str, text: Column, k: int, out: str = "gram") -> D
 
 def sentences(x: Column) -> Column:
     """Split behind . ! ? and white space, and at line breaks; blank parts dropped."""
-    return F.filter(F.transform(F.split(F.trim(x), "(?<=[.!?])\\s+|\\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(x), "(?<=[.!?])\\s+|\\n+"), strip), lambda s: s != "")
 
 
 def clauses(x: Column, least: int = 12, most: int = 120) -> Column:
     """Parts between . ! ? of a length within bounds."""
-    return F.filter(F.transform(F.split(x, "[.!?]"), F.trim), lambda s: F.length(s).between(least, most))
+    return F.filter(F.transform(F.split(x, "[.!?]"), strip), lambda s: F.length(s).between(least, most))
 
 
 def paragraphs(x: Column, group: int = 3) -> Column:
     """Parts between blank lines; a text without any is cut into groups of sentences."""
-    parts = F.filter(F.transform(F.split(F.trim(x), "\\n\\s*\\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(strip(x), "\\n\\s*\\n"), strip), lambda p: p != "")
     own = sentences(x)
     grouped = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(own) / group).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(own, i * group + 1, group), " "))
     return F.when(F.size(parts) > 1, parts).when(F.size(own) > group, grouped).otherwise(parts)
@@ -87,7 +92,7 @@ def paragraphs(x: Column, group: int = 3) -> Column:
 def cut_at(x: Column, marker: str) -> Column:
     """Text before the first match of a marker, right-trimmed."""
     at = F.regexp_instr(x, F.lit(marker))
-    return F.rtrim(F.when(at > 0, F.substring(x, F.lit(1), at - 1)).otherwise(x))
+    return F.regexp_replace(F.when(at > 0, F.substring(x, F.lit(1), at - 1)).otherwise(x), "\\s+$", "")
 
 
 def excerpt(x: Column, most: int = 400) -> Column:
@@ -110,7 +115,7 @@ def strip_tags(x: Column) -> Column:
 
 def anchor(x: Column, least: int = 15, most: int = 70) -> Column:
     """The first sentence-like part of at least ``least`` characters, cut to ``most``."""
-    found = F.filter(F.transform(F.split(x, "[.!?]"), F.trim), lambda s: F.length(s) >= least)
+    found = F.filter(F.transform(F.split(x, "[.!?]"), strip), lambda s: F.length(s) >= least)
     return F.coalesce(F.substring(F.get(found, F.lit(0)), 1, most), F.lit(""))
 
 

@@ -22,8 +22,15 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load_all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load_all()
     return dict(_ORACLES)
+
+
+def load_all() -> None:
+    """Imports the modules that register queries."""
+    from . import text_queries  # noqa: F401
