@@ -28,7 +28,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     total = sum((F.col(c) for c in CRITERIA), F.lit(0)).cast("int")
     predicted = sum((F.col(f"p_{c}") for c in CRITERIA), F.lit(0)).cast("int")
     words = F.size(F.filter(F.split(F.regexp_replace(F.col("text"), "[ \\t\\n\\x0B\\f\\r]+", " "), " "), lambda w: w != ""))
-    return out.select("*", total.alias("total"), predicted.alias("p_total"), words.alias("n_words"), F.when(i % 13 == 0, "prompt_injection").when(i % 7 == 0, "grade_inflation").otherwise("plain").alias("failure_type"))
+    return out.select("*", total.alias("total"), predicted.alias("p_total"), words.alias("n_words"), F.when(F.col("case_id") % 13 == 0, "prompt_injection").when(F.col("case_id") % 7 == 0, "grade_inflation").otherwise("plain").alias("failure_type"))
 
 
 CASES = """

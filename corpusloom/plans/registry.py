@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from . import text_queries  # noqa: F401
+    from . import metric_queries, text_queries  # noqa: F401
