@@ -54,7 +54,7 @@ def shared_spans(left: DataFrame, right: DataFrame, key: str, other: str, k: int
     """Distinct ``(key, other)`` that share a k-word span, spans of ``ignore(text)`` aside."""
     a = T.grams(left, key, F.col(text), k)
     if ignore is not None:
-        own = T.grams(ignore.select(F.lit(0).alias("_i"), F.col(text)), "_i", F.col(text), k).select("gram").distinct()
+        own = T.grams(ignore.select(F.monotonically_increasing_id().alias("_i"), F.col(text)), "_i", F.col(text), k).select("gram").distinct()
         a = a.join(own, "gram", "left_anti")
     return a.join(T.grams(right, other, F.col(text), k), "gram").select(key, other).distinct()
 
