@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from . import join_queries, metric_queries, text_queries  # noqa: F401
+    from . import join_queries, metric_queries, select_queries, text_queries  # noqa: F401
