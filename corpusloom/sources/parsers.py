@@ -11,6 +11,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -35,7 +36,7 @@ def parse_sheet(text: str) -> list[dict]:
     stop = cut.start() if cut else len(text)
     pages: dict[str, dict[int, str]] = {}
     size: dict[str, int] = {}
-    for a, b in zip(parts, [*parts[1:], None], strict=True):
+    for a, b in zip_longest(parts, parts[1:]):
         if a.start() > stop:
             break
         name = re.sub(r"\s", "", a[1]).upper()
@@ -45,7 +46,7 @@ def parse_sheet(text: str) -> list[dict]:
             pages[name][int(a[2])] = body
     notes = list(COMMENTARY.finditer(text))
     scores = {}
-    for a, b in zip(notes, [*notes[1:], None], strict=True):
+    for a, b in zip_longest(notes, notes[1:]):
         own = text[a.end() : b.start() if b else len(text)]
         total = TOTAL.search(own)
         scores[a[1].upper()] = (int(total[1]) if total else None, {k.lower(): int(v) for k, v in ROW.findall(own)})
@@ -62,7 +63,7 @@ def parse_labelled(text: str, least: int = 100) -> list[dict]:
     """Blocks between label lines such as ``Sample 2: 4/6``; short ones are dropped."""
     parts = list(LABEL.finditer(text))
     found = []
-    for a, b in zip(parts, [*parts[1:], None], strict=True):
+    for a, b in zip_longest(parts, parts[1:]):
         body = re.sub(r"\s+", " ", text[a.end() : b.start() if b else len(text)]).strip()
         if len(body) >= least:
             found.append({"sample_id": a[1], "text": body, "total": int(a[2]), "rows": "{}", "error": None})
