@@ -78,6 +78,8 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", size: str = "bytes", lim
         rest = at.where("_depth IS NULL").select(*clean.columns, "_h")
     if cells.where((F.col("level") == DEPTH) & F.col("depth").isNull()).head(1):
         out = out.unionByName(_overflow(rest, clean.columns, size, limit))
+    if out is None:  # an empty table has no cells
+        out = keyed.limit(0).select(*clean.columns, "_h", F.lit(0).alias("_depth"), F.lit(0).cast("long").alias("_page"), F.lit(0).cast("long").alias("_bytes"))
     bits = F.when(F.col("_depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(F.shiftrightunsigned(F.col("_h"), 0)), DEPTH, "0"))
     name = F.concat(F.substring(bits, F.lit(1), F.col("_depth")), F.when(F.col("_page") > 0, F.concat(F.lit("+"), F.col("_page").cast("string"))).otherwise(""))
     return out.select(*clean.columns, name.alias("shard"), F.col("_depth").alias("depth"), F.col("_page").alias("page"), F.col("_bytes").alias("shard_bytes"))
