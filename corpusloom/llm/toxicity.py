@@ -95,10 +95,9 @@ def fit(words: list[str], labels: np.ndarray, bits: int = BITS, sizes: tuple[int
     if not 0 < labels.sum() < n:
         return Model(np.zeros(size, np.float32), prior, bits, sizes)
     rows = [places(w, bits, sizes).astype(np.int32) for w in words]
-    ids = np.repeat(np.arange(n), [len(r) for r in rows])
-    cols = np.concatenate(rows)
-    positive = np.bincount(cols[labels[ids] > 0], minlength=size)
-    negative = np.bincount(cols[labels[ids] == 0], minlength=size)
+    positive, negative = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for row, label in zip(rows, labels, strict=True):
+        (positive if label > 0 else negative)[row] += 1  # a text's places are distinct
     p, q = (positive + alpha) / (labels.sum() + 2 * alpha), (negative + alpha) / (n - labels.sum() + 2 * alpha)
     ratio = np.log(p) - np.log(q)
     seen = positive + negative
@@ -107,10 +106,13 @@ def fit(words: list[str], labels: np.ndarray, bits: int = BITS, sizes: tuple[int
     told = np.where(seen >= least, np.maximum(0, np.abs(ratio) - 2 * doubt), 0)
     chosen = np.argsort(-told, kind="stable")[:keep]
     chosen = chosen[told[chosen] > 0]
-    index = np.full(size, -1)
+    index = np.full(size, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    used = index[cols] >= 0
-    ids, cols = ids[used], index[cols[used]]
+    for i, row in enumerate(rows):  # only the chosen places stay in memory
+        own = index[row]
+        rows[i] = own[own >= 0]
+    ids = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    cols = np.concatenate(rows)
     value = ratio[chosen][cols]
     w, b = np.zeros(len(chosen)), prior
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -136,9 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
     """A model from ``labels(doc_id, toxic)`` outside the held-out fold; only so many rows reach the driver."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in got], np.array([r["toxic"] for r in got]), **options)
+    rows = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = rows.toArrow().sort_by("doc_id")
+    return fit(got.column("text").to_pylist(), got.column("toxic").to_numpy(), **options)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
