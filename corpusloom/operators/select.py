@@ -127,9 +127,26 @@ def complete_pairs(df: DataFrame, pair: str, side: str, kind: str, most: int) ->
     return whole.withColumn("r", F.row_number().over(Window.partitionBy(kind).orderBy(pair))).where(F.col("r") <= most).select(kind, pair)
 
 
+def hash_ranks(df: DataFrame, key: str, seed: str, purpose: str) -> DataFrame:
+    """Adds ``rank`` (from 0) in stable hash order and ``n``, the number of rows, without a global sort.
+
+    The first three digits of the hash deal rows into 4,096 buckets that are in order already; a row's
+    rank is its place in its bucket after the sizes of the buckets before it.
+    """
+    keyed = df.withColumn("_k", stable_key(F.col(key), seed, purpose)).withColumn("_b", F.substring("_k", 1, 3))
+    counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
+    everything = Window.partitionBy(F.lit(0))
+    before = counts.select("_b", (F.sum("_c").over(everything.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(everything).alias("n"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_k", key)) - 1
+    return keyed.withColumn("_p", place).join(F.broadcast(before), "_b").withColumn("rank", F.col("_before") + F.col("_p")).drop("_k", "_b", "_p", "_before")
+
+
 def hash_shards(df: DataFrame, key: str, shards: int, seed: str) -> DataFrame:
-    """Adds ``shard``: equal parts in stable hash order."""
-    return df.withColumn("shard", F.ntile(shards).over(Window.orderBy(stable_key(F.col(key), seed, "shard"))))
+    """Adds ``shard`` from 1: parts of equal size, the first ones one larger, in stable hash order."""
+    size, more = F.floor(F.col("n") / shards), F.col("n") % shards
+    large = more * (size + 1)
+    shard = F.when(F.col("rank") < large, F.floor(F.col("rank") / (size + 1))).otherwise(more + F.floor((F.col("rank") - large) / F.greatest(size, F.lit(1)))) + 1
+    return hash_ranks(df, key, seed, "shard").withColumn("shard", shard.cast("int")).drop("rank", "n")
 
 
 def with_top_up(first: DataFrame, filler: DataFrame, group: str, order: str, quota: int) -> DataFrame:

@@ -166,13 +166,9 @@ def mixture_with_top_up(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("task_categories", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('s:cat:' || doc_id)) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN r <= floor(n * 0.15) THEN 'adversarial' WHEN r <= floor(n * 0.25) THEN 'boundary' ELSE 'plain' END AS category FROM r")
 def task_categories(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares by hash rank, found from two quantile cuts of the hash order."""
-    x = d(spark, folder).select("doc_id", S.stable_key(F.col("doc_id"), "s", "cat").alias("k"))
-    n = x.count()
-    cut = x.orderBy("k").limit(max(1, int(n * 0.25)))
-    ranked = cut.withColumn("r", F.row_number().over(Window.orderBy("k")))
-    named = ranked.select("doc_id", F.when(F.col("r") <= int(n * 0.15), "adversarial").otherwise("boundary").alias("c")) if int(n * 0.25) else ranked.select("doc_id", F.lit("plain").alias("c"))
-    return x.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("c", F.lit("plain")).alias("category"))
+    """Shares by rank in stable hash order."""
+    x = S.hash_ranks(d(spark, folder).select("doc_id"), "doc_id", "s", "cat")
+    return x.select("doc_id", F.when(F.col("rank") < F.floor(F.col("n") * 0.15), "adversarial").when(F.col("rank") < F.floor(F.col("n") * 0.25), "boundary").otherwise("plain").alias("category"))
 
 
 @register("balanced_shards", "SELECT doc_id, ntile(30) OVER (ORDER BY sha256('s:shard:' || doc_id))::INTEGER AS shard FROM documents")
