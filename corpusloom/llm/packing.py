@@ -4,7 +4,7 @@ Lengths are integers up to the capacity, so a histogram (one count a length) say
 needs, however large the corpus. On it the driver
 
 1. sorts large lengths, cuts them into groups of equal cardinality and rounds each up to its group's
-   largest length;
+   largest length (4,096 groups: with more groups less is lost to rounding, and the plan stays small);
 2. builds configurations of the few rounded lengths: the longest one left, filled by an exact bounded
    subset-sum over the others, repeated while the counts allow;
 3. puts the groups' actual lengths in place of the rounded ones;
@@ -86,7 +86,7 @@ def _fill(room: int, sizes: list[int], left: dict[int, int]) -> list[int]:
     return chosen
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 256, small: float = 1 / 16) -> list[Run]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 4096, small: float = 1 / 16) -> list[Run]:
     """Runs of alike sequences that hold each piece of the histogram once."""
     large = sorted((s for s in histogram if s > capacity * small), reverse=True)
     total = sum(histogram[s] for s in large)
@@ -185,7 +185,7 @@ def slots(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
     return found
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 256, buckets: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 4096, buckets: int = 64) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``capacity``.
 
     ``pieces`` is read twice; give a written table. Ranks within a length come from ``buckets`` shares
