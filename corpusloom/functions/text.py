@@ -59,16 +59,18 @@ def content_words(x: Column, stop: Sequence[str]) -> Column:
     return F.filter(F.array_distinct(found), lambda w: (w != "") & ~w.isin(*stop))
 
 
-def grams(df: DataFrame, key: str, text: Column, k: int, out: str = "gram") -> DataFrame:
-    """Distinct ``(key, gram)``: all k-word spans of normalized texts.
+def grams(df: DataFrame, key: str, text: Column, k: int, out: str = "gram", distinct: bool = True) -> DataFrame:
+    """``(key, gram)``: all k-word spans of normalized texts, each once if ``distinct``.
 
-    Words are exploded and read ahead within their text, so no array of spans is ever built. The only
-    shuffle is by the key; distinct reuses it.
+    Words are exploded and read ahead within their text, so no array of spans is ever built. Words
+    are shuffled by the key; distinct spans, k times as large, are shuffled again, so they are for counts: a
+    join with a small table needs none.
     """
     order = Window.partitionBy(key).orderBy("_p")
     exploded = df.select(F.col(key), F.posexplode(words(normalize(text))).alias("_p", "_w"))
     span = F.concat_ws(" ", "_w", *[F.lead("_w", i).over(order) for i in range(1, k)])
-    return exploded.select(key, span.alias(out), F.lead("_p", k - 1).over(order).alias("_end")).where("_end IS NOT NULL").select(key, out).distinct()
+    found = exploded.select(key, span.alias(out), F.lead("_p", k - 1).over(order).alias("_end")).where("_end IS NOT NULL").select(key, out)
+    return found.distinct() if distinct else found
 
 
 def sentences(x: Column) -> Column:

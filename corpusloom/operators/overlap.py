@@ -52,7 +52,7 @@ def too_short(text, least: int = 80):
 
 def shared_spans(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 8, ignore: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Distinct ``(key, other)`` that share a k-word span, spans of ``ignore(text)`` aside."""
-    a = T.grams(left, key, F.col(text), k)
+    a = T.grams(left, key, F.col(text), k, distinct=False)
     if ignore is not None:
         own = T.grams(ignore.select(F.monotonically_increasing_id().alias("_i"), F.col(text)), "_i", F.col(text), k).select("gram").distinct()
         a = a.join(own, "gram", "left_anti")
@@ -64,10 +64,11 @@ def leaked_spans(left: DataFrame, prompts: DataFrame, right: DataFrame, key: str
 
     ``prompts(key, prompt)``. A span echoes the prompt if ``echo`` of its words are in it.
     """
-    spans = T.grams(left, key, F.col("text"), k)
+    spans = T.grams(left, key, F.col("text"), k, distinct=False)
     own = prompts.select(key, T.words(T.normalize(F.col("prompt"))).alias("_p"))
-    kept = spans.join(own, key, "left").where(F.coalesce(F.size(F.filter(F.split("gram", " "), lambda w: F.array_contains("_p", w))) < echo * k, F.lit(True)))
-    return kept.select(key, "gram").join(T.grams(right, other, F.col("text"), k), "gram").select(key, other).distinct()
+    met = spans.join(T.grams(right, other, F.col("text"), k), "gram")  # before the prompts: few spans are shared
+    kept = met.join(own, key, "left").where(F.coalesce(F.size(F.filter(F.split("gram", " "), lambda w: F.array_contains("_p", w))) < echo * k, F.lit(True)))
+    return kept.select(key, other).distinct()
 
 
 def first_overlap_reason(df: DataFrame, sources: DataFrame, key: str, source: str, phrases: Sequence[str] = (), threshold: float = 0.82, k: int = 8) -> DataFrame:
