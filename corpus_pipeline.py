@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. ``toxicity`` drops documents that the classifier scores 0.5 or more.
-2. ``near_duplicates`` keeps one document of each group that the n-gram Jaccard join links.
+2. ``near_duplicates`` keeps one document of each group that links at a Jaccard of 0.8 or more over 5-word shingles.
 3. ``decontamination`` drops documents that hold a region of a benchmark item.
 4. ``secrets`` redacts findings within texts; it keeps every document.
 5. ``packing`` returns the packed pieces of all that is left.
@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import decontaminate, jaccard_join, packing, secrets, toxicity
 from corpusloom.llm.common import stash, table
 
+#: Shingles and least Jaccard (in percent) of stage 2; the contract of ``op3`` binds that query only.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -27,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_first(docs).select(*docs.columns)
+    return jaccard_join.keep_first(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
