@@ -99,6 +99,12 @@ def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return M.bootstrap(cases(spark, folder).where("p_total IS NOT NULL"), "case_id", "total", "p_total", 50)
 
 
+@register("bootstrap_full", None)
+def bootstrap_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Intervals of 2000 resamples; ``bootstrap_intervals`` has the 50 of its SQL."""
+    return M.bootstrap_cells(cases(spark, folder), "total", "p_total")
+
+
 @register("bias_and_deltas", f"""WITH {CASES}, m AS (SELECT source, avg((p_total - total)::DOUBLE) AS mean_signed_error, avg((p_total > total)::INTEGER::DOUBLE) AS over_rate, avg((p_total < total)::INTEGER::DOUBLE) AS under_rate, avg(abs(p_total - total)::DOUBLE) AS tuned_mae, avg(abs(3 - total)::DOUBLE) AS base_mae FROM cases GROUP BY source)
 SELECT *, tuned_mae - base_mae AS mae_delta FROM m""")
 def bias_and_deltas(spark: SparkSession, folder: str) -> DataFrame:
