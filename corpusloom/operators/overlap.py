@@ -59,18 +59,45 @@ def shared_spans(left: DataFrame, right: DataFrame, key: str, other: str, k: int
     return a.join(T.grams(right, other, F.col(text), k), "gram").select(key, other).distinct()
 
 
-def leaked_spans(left: DataFrame, prompts: DataFrame, right: DataFrame, key: str, other: str, k: int = 14, echo: float = 0.65) -> DataFrame:
+def leaked_spans(left: DataFrame, prompts: DataFrame, right: DataFrame, key: str, other: str, k: int = 14, echo: float = 0.65, within: int | None = 8) -> DataFrame:
     """Distinct ``(key, other)`` that share a k-word span which is not an echo of the text's own prompt.
 
-    ``prompts(key, prompt)``. A span echoes the prompt if ``echo`` of its words are in it.
+    ``prompts(key, prompt)``. A span echoes the prompt if ``echo`` of its words are in it, or ``within`` of them in a row.
     """
     spans = T.grams(left, key, F.col("text"), k, distinct=False)
-    own = prompts.select(key, T.words(T.normalize(F.col("prompt"))).alias("_p"))
+    own = prompts.select(key, T.words(T.normalize(F.col("prompt"))).alias("_p"), F.concat(F.lit(" "), T.normalize(F.col("prompt")), F.lit(" ")).alias("_n"))
     met = spans.join(T.grams(right, other, F.col("text"), k), "gram")  # before the prompts: few spans are shared
     kept = met.join(own, key, "left").where(F.coalesce(F.size(F.filter(F.split("gram", " "), lambda w: F.array_contains("_p", w))) < echo * k, F.lit(True)))
+    if within is not None:
+        row = lambda i: F.concat(F.lit(" "), F.array_join(F.slice(F.split("gram", " "), i, within), " "), F.lit(" "))
+        kept = kept.where(~F.coalesce(F.exists(F.sequence(F.lit(1), F.lit(k - within + 1)), lambda i: F.contains("_n", row(i))), F.lit(False)))
     return kept.select(key, other).distinct()
 
 
+def same_prompt_copies(left: DataFrame, right: DataFrame, key: str, other: str, threshold: float = 0.82, cap: int = 40, share: float = 0.75) -> DataFrame:
+    """Distinct ``(key)`` of texts that copy one of the same normalized prompt; both tables have ``text`` and ``prompt``.
+
+    A copy has a word-set Jaccard of ``threshold`` or more; without a prompt, an asymmetric overlap counts. A
+    text too short to compare copies any of its prompt.
+    """
+    form = lambda d, k: d.select(k, T.normalize(F.coalesce("prompt", F.lit(""))).alias("_n"), F.coalesce("text", F.lit("")).alias("text"))
+    a, b = form(left, key), form(right, other)
+    short = a.where(too_short(F.col("text"))).join(b.select("_n").distinct(), "_n", "left_semi").select(key)
+    sets = lambda d, k, n: d.select(k, "_n", T.fingerprint(F.col("text")).alias("_t")).select(k, "_n", F.size("_t").alias(n), F.explode("_t").alias("token"))
+    left_sets = sets(a.where(~too_short(F.col("text"))).join(b.select("_n").distinct(), "_n", "left_semi"), key, "n")
+    shared = left_sets.join(sets(b, other, "m"), ["_n", "token"]).groupBy(key, other, "_n", "n", "m").agg(F.count("*").alias("x"))
+    near = F.col("x") >= F.lit(threshold) * (F.col("n") + F.col("m") - F.col("x"))
+    over = F.col("x") >= F.least(F.lit(cap).cast("double"), F.col("n") * share)
+    return shared.where(F.when(F.col("_n") != "", near).otherwise(over)).select(key).unionByName(short).distinct()
+
+
+def leakage_reasons(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """``(key, reason)``: copies of held-out texts of the same prompt, and spans of any held-out text that the prompt does not explain."""
+    copies = same_prompt_copies(left, right, key, other).withColumn("reason", F.lit("duplicate_of_eval_same_prompt"))
+    spans = leaked_spans(left, left.select(key, "prompt"), right, key, other).select(key).distinct().withColumn("reason", F.lit("verbatim_span_of_eval"))
+    return copies.unionByName(spans)
+
+
 def first_overlap_reason(df: DataFrame, sources: DataFrame, key: str, source: str, phrases: Sequence[str] = (), threshold: float = 0.82, k: int = 8) -> DataFrame:
     """``(key, reason)``: too short, exact, near by all words, or verbatim span, the first that holds; null if none.
 

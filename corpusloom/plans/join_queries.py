@@ -55,7 +55,27 @@ p AS (SELECT doc_id, {WORDS.format(NORM.format("substr(text, 1, 60)"))} AS ws FR
 SELECT DISTINCT d.doc_id, item_id FROM d JOIN p USING (doc_id) JOIN b USING (gram) WHERE len(list_filter(string_split(gram, ' '), lambda w: list_contains(ws, w))) < 0.65 * 14""")
 def prompt_aware_leakage(spark: SparkSession, folder: str) -> DataFrame:
     x = d(spark, folder)
-    return O.leaked_spans(x, x.select("doc_id", F.substring("text", 1, 60).alias("prompt")), load(spark, folder, "benchmark"), "doc_id", "item_id")
+    return O.leaked_spans(x, x.select("doc_id", F.substring("text", 1, 60).alias("prompt")), load(spark, folder, "benchmark"), "doc_id", "item_id", within=None)
+
+
+FIRST_WORDS = f"array_to_string(list_slice({WORDS.format(NORM.format('text'))}, 1, 20), ' ')"
+
+
+@register("prompt_leakage_reasons", f"""
+WITH l AS (SELECT doc_id, text, {NORM.format('text')} AS norm, {FIRST_WORDS} AS n, {FP} AS fp FROM documents),
+r AS (SELECT item_id, {FIRST_WORDS} AS n, {FP} AS fp FROM benchmark),
+same AS (SELECT DISTINCT l.doc_id FROM l JOIN r USING (n) WHERE length(l.norm) < 80 OR len(l.fp) = 0
+  OR CASE WHEN n <> '' THEN len(list_intersect(l.fp, r.fp)) >= 0.82 * (len(l.fp) + len(r.fp) - len(list_intersect(l.fp, r.fp))) ELSE len(list_intersect(l.fp, r.fp)) >= least(40, len(l.fp) * 0.75) END),
+d AS ({gram_sql('documents', 'doc_id', 14)}), b AS (SELECT DISTINCT gram FROM ({gram_sql('benchmark', 'item_id', 14)})),
+met AS (SELECT DISTINCT doc_id, gram, n FROM d JOIN b USING (gram) JOIN l USING (doc_id)),
+span AS (SELECT DISTINCT doc_id FROM met WHERE len(list_filter(string_split(gram, ' '), lambda w: list_contains(string_split(n, ' '), w))) < 0.65 * 14
+  AND len(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: contains(' ' || n || ' ', ' ' || array_to_string(list_slice(string_split(gram, ' '), i, i + 7), ' ') || ' '))) = 0)
+SELECT doc_id, 'duplicate_of_eval_same_prompt' AS reason FROM same UNION ALL SELECT doc_id, 'verbatim_span_of_eval' FROM span""")
+def prompt_leakage_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Both reasons in full; a text's first twenty words stand for its prompt."""
+    prompt = F.array_join(F.slice(T.words(T.normalize(F.col("text"))), 1, 20), " ").alias("prompt")
+    x, b = d(spark, folder).select("doc_id", "text", prompt), load(spark, folder, "benchmark").select("item_id", "text", prompt)
+    return O.leakage_reasons(x, b, "doc_id", "item_id")
 
 
 @register("first_overlap_reason", f"""
