@@ -24,6 +24,13 @@ CONTAMINATION = (
     r"\bpage\s+\d+\s+of\s+\d+\b",
     r"\bthe response (?:earned|did not earn)\b",
 )
+#: All of the reference's patterns; the SQL of the queries has those of CONTAMINATION only.
+SOURCE_CONTAMINATION = (
+    *CONTAMINATION,
+    r"©\s*\d{4}\s+college board",
+    r"\bap(?:®|\s+)?\s*united states history\s+20\d{2}\b",
+    r"visit\s+college board on the web",
+)
 LEAKAGE = (
     r"\btarget (?:total|score|rubric profile)\b",
     r"\btraining data(?:set)?\b",
@@ -95,7 +102,7 @@ def essay_gate(essay: Column, feedback: Column) -> Column:
     return reasons({
         "feedback_not_grounded": ~refers_to(feedback, essay),
         "rewrites_essay": any_of(feedback, REWRITE),
-        "source_text_contamination": any_of(essay, CONTAMINATION),
+        "source_text_contamination": any_of(essay, SOURCE_CONTAMINATION),
         "generation_prompt_leakage": any_of(essay, LEAKAGE),
         "hallucinated_quote": hallucinates(feedback, essay),
     })

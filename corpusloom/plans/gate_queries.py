@@ -39,7 +39,7 @@ PLANTED_SQL = "planted AS (SELECT doc_id, text || CASE doc_id % 7 " + " ".join(f
 @register("pattern_gates", f"WITH {PLANTED_SQL} SELECT doc_id, " + ", ".join(f"regexp_matches(x, '(?i){alternation(p)}') AS {n}" for n, p in (("rewrites", G.REWRITE), ("contaminated", G.CONTAMINATION), ("leaks", G.LEAKAGE), ("names_source", G.HALLUCINATION))) + " FROM planted")
 def pattern_gates(spark: SparkSession, folder: str) -> DataFrame:
     x = F.col("x")
-    return planted(spark, folder).select("doc_id", G.any_of(x, G.REWRITE).alias("rewrites"), G.any_of(x, G.CONTAMINATION).alias("contaminated"), G.any_of(x, G.LEAKAGE).alias("leaks"), G.any_of(x, G.HALLUCINATION).alias("names_source"))
+    return planted(spark, folder).select("doc_id", G.any_of(x, G.REWRITE).alias("rewrites"), G.any_of(x, G.SOURCE_CONTAMINATION).alias("contaminated"), G.any_of(x, G.LEAKAGE).alias("leaks"), G.any_of(x, G.HALLUCINATION).alias("names_source"))
 
 
 @register("artifact_categories", f"WITH {PLANTED_SQL} SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(x, '(?i){alternation(p + G.LEAKAGE if c == 'prompt_or_instruction_leakage' else p)}') THEN '{c}' END" for c, p in G.ARTIFACTS.items()) + ") AS categories FROM planted")
@@ -107,7 +107,7 @@ def strict_payloads(spark: SparkSession, folder: str) -> DataFrame:
 @register("reject_counts", f"WITH {PLANTED_SQL}, r AS (SELECT unnest(list_filter([CASE WHEN regexp_matches(x, '(?i){alternation(G.CONTAMINATION)}') THEN 'source_text_contamination' END, CASE WHEN regexp_matches(x, '(?i){alternation(G.LEAKAGE)}') THEN 'generation_prompt_leakage' END, CASE WHEN length(x) < 200 THEN 'short' END], lambda r: r IS NOT NULL)) AS reason FROM planted) SELECT reason, count(*) AS n FROM r GROUP BY reason")
 def reject_counts(spark: SparkSession, folder: str) -> DataFrame:
     x = F.col("x")
-    r = G.sorted_reasons(G.reasons({"source_text_contamination": G.any_of(x, G.CONTAMINATION), "generation_prompt_leakage": G.any_of(x, G.LEAKAGE)}), G.reasons({"short": F.length(x) < 200}))
+    r = G.sorted_reasons(G.reasons({"source_text_contamination": G.any_of(x, G.SOURCE_CONTAMINATION), "generation_prompt_leakage": G.any_of(x, G.LEAKAGE)}), G.reasons({"short": F.length(x) < 200}))
     return planted(spark, folder).select(F.explode(r).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -118,6 +118,13 @@ def filler_density(spark: SparkSession, folder: str) -> DataFrame:
     return planted(spark, folder).select("doc_id", ((hits >= 2) & (T.word_count(x) <= 360)).alias("dense"))
 
 
+@register("filler_density_three", f"WITH {PLANTED_SQL} SELECT doc_id, (" + " + ".join(f"contains(lower(x), '{p}')::INTEGER" for p in G.FILLER) + ") >= 3 AND len(string_split_regex(trim(regexp_replace(x, '\\s+', ' ', 'g')), ' ')) <= 360 AS dense FROM planted")
+def filler_density_three(spark: SparkSession, folder: str) -> DataFrame:
+    """The reference's threshold of three markers; ``filler_density`` has the two of its SQL."""
+    x = F.col("x")
+    return planted(spark, folder).select("doc_id", G.filler_dense(x, T.word_count(x)).alias("dense"))
+
+
 @register("fact_checks", """
 WITH e AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'too short' WHEN doc_id % 5 = 1 THEN 'In ' || (1700 + doc_id % 300) || ' the trade of many towns and ports grew without any change at all' WHEN doc_id % 5 = 2 THEN '1 2 3 4 5 6 7 8 9 10' ELSE 'The trade of many towns and ports grew in ' || (1750 + doc_id % 40) || ' and in other years' END AS essay FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'empty_or_too_short' WHEN doc_id % 5 = 2 THEN 'nonsense_text' WHEN doc_id % 5 = 1 AND 1700 + doc_id % 300 > 1840 THEN 'anachronistic_year' END AS reason FROM e""")
