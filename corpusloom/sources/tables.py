@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
@@ -19,12 +20,15 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder that all machines share; one of its own only where that is unset."""
+    """``spark.checkpoint.dir``, the folder that all machines share. Where it is unset, one of its own, but only in
+    local mode: a temporary folder of one machine is no use to the others, so a cluster without the setting is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not now.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
