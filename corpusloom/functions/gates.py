@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -40,15 +41,29 @@ LEAKAGE = (
     r"\bi was asked to write\b",
 )
 ARTIFACTS = {
-    "memory_or_notes": (r"\b(?:class\s+)?notes?\b", r"\bfrom memory\b", r"\bmy memory\b"),
+    "memory_or_notes": (r"\b(?:class\s+)?notes?\b", r"\bfrom memory\b", r"\bmy memory\b", r"\bin my notes\b", r"\bcoming up in notes\b"),
     "planning_or_draft_process": (r"\b(?:outline|outlining|checklist|draft|drafting|rewrite|rewriting)\b", r"\bwriting process\b", r"\bas i (?:write|plan|draft)\b", r"\bi am (?:writing|planning|drafting)\b", r"\bmargins?\b"),
-    "physical_test_conditions": (r"\b(?:bluebooks?|pencils?|erasers?|seating|clocks?)\b", r"\b(?:test conditions?|timed test|exam room)\b", r"\bpens?\b"),
-    "knowledge_admission": (r"\bi (?:cannot|can't|can not) recall\b", r"\bi (?:don't|do not|cant|can't) remember\b", r"\bi forget\b", r"\bi (?:don't|do not) know (?:the|enough|much)\b", r"\bmissing knowledge\b"),
+    "physical_test_conditions": (r"\b(?:bluebooks?|pencils?|erasers?|seating|clocks?)\b", r"\b(?:test conditions?|timed test|exam room)\b", r"(?:^|[^A-Za-z])pens?(?:[^A-Za-z]|$)"),
+    "knowledge_admission": (r"\bi (?:cannot|can't|can not) recall\b", r"\bi (?:don't|do not|cant|can't) remember\b", r"\bi forget\b", r"\bi (?:don't|do not) know (?:the|enough|much)\b", r"\bmissing knowledge\b", r"\bfuzzy in my (?:notes|memory)\b"),
     "generator_mattering_stub": (r"\bmattering\b",),
     "prompt_or_instruction_leakage": (r"\bthese generation instructions\b", r"\bi was asked to write\b", r"\btarget (?:total|score|rubric)\b", r"\bstudent persona\b", r"\bstyle reference\b", r"\bfact cards?\b"),
     "timing_theater_filler": ("hard to finish in time", "lost a little time", "running out of time", "not enough time"),
     "stock_classroom_filler": ("teachers say", "classmates argued", "my outline was short", "worksheet"),
 }
+#: Marks of a scoring document within an essay; a match names the mark.
+MARKERS = {
+    "scoring_commentary": r"\bScoring\s+Commentary\b",
+    "commentary_page_header": r"(?:^|\n)[ \t]*Long\s+Essay\s+Question\s+\d+(?:\s*\(continued\))?[ \t]*(?:\n|$)",
+    "ap_page_header": r"\bAP(?:®|\s+)?\s*United\s+States\s+History\s+20\d{2}\b",
+    "sample_score_header": r"(?:^|\n)[ \t]*Sample:\s*\d+[A-C]\b|(?:^|\n)[ \t]*(?:Thesis(?:/Claim)?|Contextualization|Evidence|Analysis\s+and\s+Reasoning|Total)(?:\s+Score)?:\s*\d+\b",
+    "commentary_row_label": r"(?:^|\n)[ \t]*[A-D]\.[ \t]+(?:Thesis/Claim|Contextualization|Evidence|Analysis\s+and\s+Reasoning)\b",
+    "document_page_marker": r"(?:^|\n)[ \t]*(?:Page[ \t]+\d+[ \t]+of[ \t]+\d+[ \t]+\d+[ \t]*(?:\r?\n[ \t]*)?[A-C]|Sample[ \t]+\d+[ \t]*[A-C][ \t]+\d+[ \t]+of[ \t]+\d+)[ \t]*(?:\n|$)",
+    "copyright_footer": r"©\s*20\d{2}\s+College\s+Board|Visit\s+College\s+Board\s+on\s+the\s+web|\bapcentral\.collegeboard\.org\b|\bcollegeboard\.org\b",
+    "commentary_boilerplate": r"Student\s+samples\s+are\s+quoted\s+verbatim|\bThe\s+response\s+(?:earned|did\s+not\s+earn)\b|\bearned\s+(?:0|1|2|one|two)\s+points?\b",
+}
+#: Words near a late year that excuse it, and the characters to either side that are searched.
+LATER_CUES, CUE_REACH = r"\b(?:later|legacy|eventually|would later|afterward|today)\b", 40
+INDEPENDENT = ("independent_consensus", "adjudicated")
 FILLER = ("hard to finish in time", "teachers say", "classmates argued", "my outline was short", "lost a little time")
 STOP_WORDS = ("this", "that", "with", "from", "have", "were", "their", "about", "which", "essay")
 CRITERIA = {"thesis": (0, 1), "contextualization": (0, 1), "evidence": (0, 2), "analysis_reasoning": (0, 2)}
@@ -64,6 +79,19 @@ def sorted_reasons(*parts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def all_true(checks: Sequence[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, checks, F.lit(True))
+
+
+def any_true(checks: Sequence[Column]) -> Column:
+    return functools.reduce(lambda a, b: a | b, checks, F.lit(False))
+
+
+def markers(x: Column) -> Column:
+    """Names of the marks of a scoring document in an essay, in order."""
+    return reasons({name: x.rlike(f"(?i){pattern}") for name, pattern in MARKERS.items()})
+
+
 def any_of(x: Column, patterns: Sequence[str]) -> Column:
     """Whether any pattern occurs, in either case: one alternation, so one scan of the text."""
     return x.rlike("(?i)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
@@ -108,6 +136,28 @@ def essay_gate(essay: Column, feedback: Column) -> Column:
     })
 
 
+def case_gate(parsed: Column, response: Column, essay: Column, spans: Column, method: Column, strict: bool = False) -> Column:
+    """Reasons of the full gate, in order: of a response that is not parsed or not valid, only those.
+
+    ``parsed``: ``jsonx.parse_udf`` of the response. ``spans``: criterion to quoted spans, which must be in the essay; a
+    strict gate asks independently labeled cases for them.
+    """
+    said = {c: parsed["feedback"][c] for c in CRITERIA}
+    both = F.concat_ws(" ", *said.values())
+    checks = {f"feedback_not_grounded_{c}": ~F.coalesce(refers_to(said[c], essay), F.lit(False)) for c in CRITERIA}
+    checks |= {"rewrites_essay": any_of(response, REWRITE), "source_text_contamination": any_of(essay, SOURCE_CONTAMINATION), "generation_prompt_leakage": any_of(essay, LEAKAGE), "hallucinated_quote": hallucinates(both, essay)}
+    form, given = T.match_form(essay), F.coalesce(F.size(spans) > 0, F.lit(False))
+    for c in CRITERIA:
+        own = F.coalesce(F.try_element_at(spans, F.lit(c)), F.array().cast("array<string>"))
+        strange = F.exists(own, lambda s: (T.strip(s) != "") & ~F.contains(form, T.match_form(s)))
+        checks[f"missing_feedback_span_{c}"] = given & (F.size(own) == 0)
+        checks[f"ungrounded_feedback_span_{c}"] = given & strange
+    checks["missing_feedback_spans"] = F.lit(strict) & ~given & F.coalesce(method.isin(*INDEPENDENT), F.lit(False))
+    found = F.coalesce(parsed["reasons"], F.array().cast("array<string>"))
+    invalid = F.coalesce(parsed["invalid"], F.array().cast("array<string>"))
+    return F.when(parsed["json"].isNull(), found).when(F.size(invalid) > 0, F.concat(found, invalid)).otherwise(F.concat(found, reasons(checks)))
+
+
 def length_band(reference: Column) -> tuple[Column, Column]:
     """(low, high) word counts allowed for a reference of so many words; halves round to even."""
     ref = F.greatest(F.lit(1), reference.cast("int"))
@@ -144,20 +194,32 @@ def fact_check(prompt: Column, essay: Column) -> Column:
     """The first failed check of an essay, or null."""
     w = F.filter(F.split(T.squash(essay), " "), lambda x: x != "")
     unique = F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)
-    span = T.year_range(prompt)
-    own = T.years(essay).cast("array<int>")
-    late = F.filter(own, lambda y: y > span["end"] + 40)
-    excused = F.transform(F.regexp_extract_all(essay, F.lit("(?is)((?=.{0,80}(?:later|legacy|eventually|afterward|today))\\b(?:1[4-9][0-9]{2}|20[0-9]{2})\\b)"), 1), lambda y: y.cast("int"))
-    anachronism = F.exists(late, lambda y: ~F.array_contains(excused, y))
+    span = T.year_range(prompt, T.LATE_YEAR, "-|–|—|to|and|through")
+    own = F.regexp_extract_all(essay, F.lit(f"\\b({T.LATE_YEAR})\\b"), 1).cast("array<int>")
+    late = F.array_distinct(F.filter(own, lambda y: y > span["end"] + 40))
+    anachronism = F.exists(late, lambda y: ~excused(essay, y))
     absurd = F.size(F.filter(own, lambda y: (y < span["start"] - 350) | (y > span["end"] + 120))) >= 2
     return (
         F.when(F.size(w) < 8, F.lit("empty_or_too_short"))
-        .when(F.length(F.regexp_replace(essay, "[^A-Za-z]", "")) < 20, F.lit("nonsense_text"))
+        .when((F.length(F.regexp_replace(essay, "[^A-Za-z]", "")) < 20) | ~essay.rlike("[aeiouAEIOU]"), F.lit("nonsense_text"))
         .when((unique < 0.18) & (F.size(w) > 20), F.lit("nonsense_repetition"))
         .when(anachronism | absurd, F.lit("anachronistic_year"))
     )
 
 
+def excused(essay: Column, year: Column) -> Column:
+    """Whether some occurrence of a year has a cue of what came later within reach, to either side."""
+    parts = F.split(essay, F.concat(F.lit("\\b"), year.cast("string"), F.lit("\\b")))
+    joined = lambda first, n: F.call_function("array_join", F.slice(parts, first, n), year.cast("string"))
+
+    def near(i: Column) -> Column:
+        before, after = joined(F.lit(1), i), joined(i + 1, F.size(parts))
+        reach = F.concat(F.right(before, F.lit(CUE_REACH)), year.cast("string"), F.left(after, F.lit(CUE_REACH)))
+        return reach.rlike(f"(?i){LATER_CUES}")
+
+    return F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), near)).otherwise(F.lit(False))
+
+
 def all_known(values: Column, allowed: Sequence[str]) -> Column:
     """Whether an array holds no value outside ``allowed``."""
     return F.size(F.array_except(values, F.array(*[F.lit(a) for a in allowed]))) == 0

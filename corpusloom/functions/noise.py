@@ -91,6 +91,20 @@ def shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([longest_shared_run(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+def sentences_with_shared_span(a: str, b: str, k: int = 8) -> int:
+    """Sentences of a text that share a span of ``k`` normalized words with another text."""
+    form = lambda t: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", t.lower())).strip().split(" ")
+    y = form(b)
+    have = {tuple(y[i : i + k]) for i in range(len(y) - k + 1)}
+    parts = [form(s) for s in re.split(r"(?<=[.!?])\s+|\n+", a.strip())]
+    return sum(any(tuple(x[i : i + k]) in have for i in range(len(x) - k + 1)) for x in parts)
+
+
+@F.pandas_udf(IntegerType())
+def shared_sentences(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([sentences_with_shared_span(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def entity_names(text: pd.Series) -> pd.Series:
     return text.map(lambda t: entities(t or ""))

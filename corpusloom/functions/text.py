@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,23 @@ from pyspark.sql import functions as F
 
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
+#: Years from 1400, and from 1600 for checks of facts, to 2099.
+YEAR, LATE_YEAR = "1[4-9][0-9]{2}|20[0-9]{2}", "1[6-9][0-9]{2}|20[0-9]{2}"
+
+
+# Marks of appended requests and phrases that tell a failure type.
+ADVERSARIAL_MARKS = ("\n\nTeacher, I really need", "\n\nIgnore previous rubric")
+FAILURE_PHRASES = {
+    "prompt_injection": ("ignore previous rubric", "award full points"),
+    "grade_inflation_request": ("really need a 6/6", "please be lenient"),
+    "weak_thesis": ("in conclusion, history changed",),
+    "evidence_list": ("happened one after another",),
+    "wrong_period": ("from 1607 to 1754",),
+    "borderline_complexity": ("significant but incomplete",),
+    "missing_context": ("therefore, the period saw",),
+}
+LATER_THINGS = ("social security", "interstate highway", "tet offensive")
+
 
 def strip(x: Column) -> Column:
     """Text without white space at its ends."""
@@ -121,6 +139,47 @@ def anchor(x: Column, least: int = 15, most: int = 70) -> Column:
     return F.coalesce(F.substring(F.get(found, F.lit(0)), 1, most), F.lit(""))
 
 
+def anchors(x: Column, n: int = 4, k: int = 8) -> Column:
+    """``n`` spans of ``k`` words from places spread over a text, each verbatim in it and over 12 characters; sentence starts fill up.
+
+    A text with fewer gets its last span again, and one without any its first words.
+    """
+    w = words(squash(x))
+    count = F.size(w)
+    step = F.greatest(F.lit(1), F.floor(count / n).cast("int"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), count - k), step)
+    usable = lambda spans: F.filter(spans, lambda s: (F.length(s) > 12) & F.contains(x, s))
+    spread = usable(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, k), " ")))
+    begun = usable(F.transform(F.filter(sentences(x), lambda s: F.size(words(squash(s))) >= 4), lambda s: F.array_join(F.slice(words(squash(s)), 1, k), " ")))
+    found = F.slice(F.array_distinct(spread), 1, n)
+    found = F.when(F.size(found) < n, F.slice(F.array_distinct(F.concat(found, begun)), 1, n)).otherwise(found)
+    some = F.when(F.size(found) > 0, found).when(count > 0, F.array(F.array_join(F.slice(w, 1, k), " "))).otherwise(F.array(F.lit("this essay")))
+    return F.concat(some, F.array_repeat(F.element_at(some, -1), n - F.size(some)))
+
+
+def without_adversarial(x: Column, marks: Sequence[str] = ADVERSARIAL_MARKS) -> Column:
+    """Text before the first given mark that it has; marks are tried in order."""
+    out = x
+    for m in reversed(marks):
+        out = F.when(F.contains(x, F.lit(m)), F.substring_index(x, m, 1)).otherwise(out)
+    return out
+
+
+def failure_type(x: Column) -> Column:
+    """A failure type from phrases that tell it, the first that fits."""
+    low = F.lower(x)
+    has = lambda *phrases: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
+    out = F.lit("strong")
+    for name, phrases in reversed(FAILURE_PHRASES.items()):
+        fits = has(*phrases)
+        if name == "wrong_period":
+            fits = fits & has(*LATER_THINGS)
+        if name == "missing_context":
+            fits = fits & ~F.contains(F.substring(low, 1, 120), F.lit("context"))
+        out = F.when(fits, name).otherwise(out)
+    return out
+
+
 def slug(x: Column, stop: Sequence[str], most: int = 6) -> Column:
     """The first distinct content words and all years, joined by hyphens."""
     kept = F.slice(F.array_distinct(F.filter(words(normalize(x)), lambda w: (F.length(w) > 3) & ~w.isin(*stop) & ~w.rlike("^[0-9]"))), 1, most)
@@ -129,14 +188,14 @@ def slug(x: Column, stop: Sequence[str], most: int = 6) -> Column:
 
 def years(x: Column) -> Column:
     """Four-digit years 1400-2099, in order."""
-    return F.regexp_extract_all(x, F.lit("\\b(1[4-9][0-9]{2}|20[0-9]{2})\\b"), 1)
+    return F.regexp_extract_all(x, F.lit(f"\\b({YEAR})\\b"), 1)
 
 
-def year_range(x: Column) -> Column:
+def year_range(x: Column, year: str = YEAR, joint: str = "-|to|and") -> Column:
     """(start, end): a written range, else the least and greatest year; null without years."""
-    first = F.regexp_extract(x, "\\b(1[4-9][0-9]{2}|20[0-9]{2})\\s*(?:-|to|and)\\s*(1[4-9][0-9]{2}|20[0-9]{2})\\b", 1)
-    second = F.regexp_extract(x, "\\b(1[4-9][0-9]{2}|20[0-9]{2})\\s*(?:-|to|and)\\s*(1[4-9][0-9]{2}|20[0-9]{2})\\b", 2)
-    all_years = years(x).cast("array<int>")
+    written = f"\\b({year})\\s*(?:{joint})\\s*({year})\\b"
+    first, second = F.regexp_extract(x, written, 1), F.regexp_extract(x, written, 2)
+    all_years = F.regexp_extract_all(x, F.lit(f"\\b({year})\\b"), 1).cast("array<int>")
     a = F.when(first != "", first.cast("int")).otherwise(F.array_min(all_years))
     b = F.when(first != "", second.cast("int")).otherwise(F.array_max(all_years))
     return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))

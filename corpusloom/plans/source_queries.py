@@ -108,9 +108,9 @@ def style_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Longest shared runs of pairs that share an 8-word span: no SQL form; tested against a plain search."""
     x, b = d(spark, folder), R.load(spark, folder, "benchmark")
     pairs = O.shared_spans(x, b, "doc_id", "item_id", 8)
-    j = pairs.join(x.select("doc_id", T.normalize(F.col("text")).alias("a")), "doc_id").join(F.broadcast(b.select("item_id", T.normalize(F.col("text")).alias("b"))) if b.count() <= 100_000 else b.select("item_id", T.normalize(F.col("text")).alias("b")), "item_id")
-    run = j.select("doc_id", "item_id", N.shared_run("a", "b").alias("run"))
-    return run.select("doc_id", "item_id", "run", F.array_join(N.style_copy(F.col("run"), F.lit(0)), ",").alias("reasons"))
+    j = pairs.join(x.select("doc_id", F.col("text").alias("a")), "doc_id").join(b.select("item_id", F.col("text").alias("b")), "item_id")
+    run = j.select("doc_id", "item_id", N.shared_run(T.normalize(F.col("a")), T.normalize(F.col("b"))).alias("run"), N.shared_sentences("a", "b").alias("hits"))
+    return run.select("doc_id", "item_id", "run", "hits", F.array_join(N.style_copy(F.col("run"), F.col("hits")), ",").alias("reasons"))
 
 
 @register("seeded_errors", None)
