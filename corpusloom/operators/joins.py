@@ -74,10 +74,20 @@ def range_conflicts(rows: DataFrame, key: str, topic: str, split: str, start: st
 
 
 def best_range(rows: DataFrame, ranges: DataFrame, key: str, start: str, end: str, order: str, low: str, high: str, most: int = 10_000) -> DataFrame:
-    """Each row with the range that overlaps it most, the first by ``order`` on ties. ``ranges`` is a small fixed list and is checked."""
-    if ranges.limit(most + 1).count() > most:
-        raise ValueError("too many ranges for a broadcast")
-    met = rows.join(F.broadcast(ranges), (F.col(start) <= F.col(high)) & (F.col(low) <= F.col(end)))
+    """Each row with the range that overlaps it most, the first by ``order`` on ties.
+
+    A short list of ranges is broadcast; a longer one meets the rows by the blocks of values that either covers, each pair
+    in the first block that both have.
+    """
+    met_at = (F.col(start) <= F.col(high)) & (F.col(low) <= F.col(end))
+    if ranges.limit(most + 1).count() <= most:
+        met = rows.join(F.broadcast(ranges), met_at)
+    else:
+        width = ranges.agg(F.max(F.col(high) - F.col(low)).alias("w")).first()["w"]
+        size = max(1, int(width or 0) + 1)
+        blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+        one, two = rows.withColumn("_b", blocks(start, end)), ranges.withColumn("_c", blocks(low, high))
+        met = one.join(two, (F.col("_b") == F.col("_c")) & met_at).where(F.col("_b") == F.greatest(F.floor(F.col(start) / size), F.floor(F.col(low) / size))).drop("_b", "_c")
     width = F.least(end, high) - F.greatest(start, low) + 1
     return met.groupBy(key).agg(F.max_by(F.col(order), F.struct(width, -F.col(order))).alias(order), F.max(width).alias("overlap"))
 

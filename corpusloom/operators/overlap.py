@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,33 +16,63 @@ def token_sets(df: DataFrame, key: str, text: str = "text", least: int = 4) -> D
     return sets.select(key, F.size("_t").alias("n"), F.explode("_t").alias("token"))
 
 
+#: Words whose order is looked up in a broadcast table, at most.
+MAX_FREQUENT = 200_000
+
+
+def frequent_words(sets: DataFrame) -> DataFrame:
+    """``(w, c)`` of words in so many sets that at most ``MAX_FREQUENT`` words can be."""
+    total = sets.agg(F.sum(F.size("s")).alias("n")).first()["n"] or 0
+    counts = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return counts.where(F.col("c") >= max(32, -(-total // MAX_FREQUENT)))
+
+
+def rarest(sets: DataFrame, frequent: DataFrame, most: Column) -> DataFrame:
+    """``(k, n, w)``: the first ``most`` words of each set ``(k, n, s)``; frequent words come last, by count.
+
+    Words meet their counts in a broadcast table and are put together again by the set's key, so no word is a join key.
+    """
+    words = sets.select("k", "n", F.explode("s").alias("w")).join(F.broadcast(frequent), "w", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.xxhash64("w").alias("h"), "w")))
+    return words.groupBy("k", "n").agg(order.alias("o")).select("k", "n", F.explode(F.slice("o", F.lit(1), most.cast("int"))).alias("e")).select("k", "n", F.col("e.w").alias("w"))
+
+
 def jaccard_pairs(df: DataFrame, key: str, text: str = "text", threshold: float = 0.82, least: int = 4) -> DataFrame:
     """``(a, b, shared, size_a, size_b)`` with a < b and a word-set Jaccard of ``threshold`` or more.
 
-    Each text is listed under its rarest words only, as many as a partner must share one of; short
-    lists meet there after a size filter, and the survivors' sets are intersected. Frequent words,
-    which make most pairs, are listed nowhere.
+    Texts of equal sets are one class; the join is on classes, and pairs of texts are made from linked classes at the
+    end. Each class is listed under its rarest words only, as many as a partner must share one of; short lists meet
+    there after a size filter, and the survivors' sets are intersected.
     """
-    sets = df.select(F.col(key).alias("k"), T.fingerprint(F.col(text), least).alias("s")).where(F.size("s") > 0)
-    words = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("c"))
-    ranked = words.join(counts, "w").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("o"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    listed = ranked.select("k", "n", F.explode(F.slice("o", F.lit(1), prefix)).alias("e")).where("e.c > 1").select("k", "n", F.col("e.w").alias("w"))
+    from ..sources.tables import durable
+
+    each = df.select(F.col(key).alias("id"), F.array_sort(T.fingerprint(F.col(text), least)).alias("s")).where(F.size("s") > 0)
+    each = durable(each.select("id", F.sha2(F.array_join("s", " "), 256).alias("k"), F.size("s").alias("n"), "s"))
+    sets = durable(each.groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.count("*").alias("copies")))
+    listed = rarest(sets, frequent_words(sets), F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     a, b = listed.alias("a"), listed.alias("b")
     near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & near).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    found = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size("sa").alias("size_a"), F.size("sb").alias("size_b"))
-    return found.where(F.col("shared") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & near).select(F.col("a.k").alias("u"), F.col("b.k").alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("k").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("sv")), "v")
+    met = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("shared"), F.size("su").alias("nu"), F.size("sv").alias("nv"))
+    linked = met.where(F.col("shared") >= F.lit(threshold) * (F.col("nu") + F.col("nv") - F.col("shared")))
+    same = sets.where("copies > 1").select(F.col("k").alias("u"), F.col("k").alias("v"), F.col("n").alias("shared"), F.col("n").alias("nu"), F.col("n").alias("nv"))
+    ids = each.select("id", "k")
+    found = linked.unionByName(same).join(ids.withColumnRenamed("k", "u").withColumnRenamed("id", "x"), "u").join(ids.withColumnRenamed("k", "v").withColumnRenamed("id", "y"), "v").where((F.col("u") != F.col("v")) | (F.col("x") < F.col("y")))
+    first = F.col("x") < F.col("y")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", F.when(first, F.col("nu")).otherwise(F.col("nv")).alias("size_a"), F.when(first, F.col("nv")).otherwise(F.col("nu")).alias("size_b"))
 
 
 def cross_overlap(left: DataFrame, right: DataFrame, key: str, other: str, cap: int = 40, share: float = 0.75) -> DataFrame:
-    """``(key, other, shared)`` where a text shares min(cap, share of its own words) with one of another table: asymmetric."""
-    a = token_sets(left, key).withColumnRenamed("n", "n_left")
-    b = token_sets(right, other).drop("n")
-    shared = a.join(b, "token").groupBy(key, other, "n_left").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= F.least(F.lit(cap).cast("double"), F.col("n_left") * share)).select(key, other, "shared")
+    """``(key, other, shared)`` where a text shares min(cap, share of its own words) with one of another table: asymmetric.
+
+    A text is listed under its rarest words only, all but as many as it must share less one; the other table under all.
+    """
+    x, y = (d.select(F.col(c).alias("k"), T.fingerprint(F.col("text")).alias("s")).select("k", F.size("s").alias("n"), "s") for d, c in ((left, key), (right, other)))
+    need = F.least(F.lit(cap).cast("double"), F.col("n") * share)
+    pairs = rarest(x, frequent_words(x), F.col("n") - F.ceil(need) + 1).select("k", "w").join(y.select(F.col("k").alias("o"), F.explode("s").alias("w")), "w").select("k", "o").distinct()
+    both = pairs.join(x, "k").join(y.select(F.col("k").alias("o"), F.col("s").alias("t")), "o").withColumn("shared", F.size(F.array_intersect("s", "t")).cast("long"))
+    return both.where(F.col("shared") >= need).select(F.col("k").alias(key), F.col("o").alias(other), "shared")
 
 
 def too_short(text, least: int = 80):
@@ -107,27 +137,31 @@ def first_overlap_reason(df: DataFrame, sources: DataFrame, key: str, source: st
     texts = df.select(F.col(key), form.alias("norm"), T.scrub(F.col("text"), phrases).alias("text"))
     usable = sources.select(F.col(source), form.alias("norm"), T.scrub(F.col("text"), phrases).alias("text")).where(F.length("norm") >= 80)
     exact = texts.join(usable.select("norm").distinct(), "norm", "left_semi").select(key).withColumn("exact", F.lit(True))
-    words = lambda d, c, n: d.select(F.col(c), F.array_distinct(T.words(F.col("norm"))).alias("_w")).select(c, F.size("_w").alias(n), F.explode("_w").alias("w"))
-    shared = words(texts, key, "n1").join(words(usable, source, "n2"), "w").groupBy(key, source, "n1", "n2").agg(F.count("*").alias("x"))
-    near = shared.where(F.col("x") >= threshold * (F.col("n1") + F.col("n2") - F.col("x"))).select(key).distinct().withColumn("near", F.lit(True))
+    x, y = (d.select(F.col(c).alias("k"), F.array_distinct(T.words(F.col("norm"))).alias("s")).select("k", F.size("s").alias("n"), "s") for d, c in ((texts, key), (usable, source)))
+    often, most = frequent_words(x), F.col("n") - F.ceil(F.col("n") * threshold) + 1
+    a, b = rarest(x, often, most).alias("a"), rarest(y, often, most).alias("b")
+    fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & fits).select(F.col("a.k").alias("k"), F.col("b.k").alias("o")).distinct()
+    both = pairs.join(x, "k").join(y.select(F.col("k").alias("o"), F.col("n").alias("m"), F.col("s").alias("t")), "o").withColumn("x", F.size(F.array_intersect("s", "t")))
+    near = both.where(F.col("x") >= threshold * (F.col("n") + F.col("m") - F.col("x"))).select(F.col("k").alias(key)).distinct().withColumn("near", F.lit(True))
     verbatim = shared_spans(texts, usable, key, source, k).select(key).distinct().withColumn("verbatim", F.lit(True))
     joined = texts.select(key, F.length("norm").alias("_n")).join(exact, key, "left").join(near, key, "left").join(verbatim, key, "left")
     reason = F.when(F.col("_n") < 80, "essay_too_short_for_overlap_audit").when(F.col("exact"), "exact_duplicate").when(F.col("near"), "near_duplicate").when(F.col("verbatim"), "verbatim_eight_word_overlap")
     return joined.select(key, reason.alias("reason"))
 
 
-def greedy_accept(nodes: DataFrame, edges: DataFrame, key: str, max_rounds: int = 100) -> DataFrame:
+def greedy_accept(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """``(key, accepted)``: rows taken in key order unless they conflict with an accepted earlier one.
 
     ``edges(later, earlier)``. A row is accepted once none of its earlier neighbours is undecided or
-    accepted, rejected once one is accepted. Each round decides at least the least undecided row; the
-    undecided edges are checkpointed, so lost executors cost one round.
+    accepted, rejected once one is accepted. Each round decides at least the least undecided row, and rounds go on
+    until none is left; the undecided edges are written, so lost executors cost one round.
     """
     from ..sources.tables import durable
 
     state = durable(nodes.select(F.col(key).alias("id"), F.lit(None).cast("boolean").alias("accepted")))
     left = durable(edges.select("later", "earlier").distinct())
-    for _ in range(max_rounds):
+    while True:
         blocked = left.select(F.col("later").alias("id")).distinct().withColumn("blocked", F.lit(True))
         state = state.join(blocked, "id", "left").select("id", F.when(F.col("accepted").isNull() & F.col("blocked").isNull(), True).otherwise(F.col("accepted")).alias("accepted"))
         taken = state.where("accepted").select(F.col("id").alias("earlier"))
@@ -137,7 +171,6 @@ def greedy_accept(nodes: DataFrame, edges: DataFrame, key: str, max_rounds: int
         left = durable(left.join(settled.withColumnRenamed("id", "later"), "later", "left_anti").join(settled.withColumnRenamed("id", "earlier"), "earlier", "left_anti"))
         if not state.where("accepted IS NULL").head(1):
             return state.select(F.col("id").alias(key), "accepted")
-    raise RuntimeError("greedy acceptance did not settle")
 
 
 def token_similarity(a: DataFrame, b: DataFrame, key_a: str, key_b: str, stop: Sequence[str] = ()) -> DataFrame:
