@@ -6,7 +6,8 @@ points that follow the pre-tokenizer's pattern::
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-and looked up by a 64-bit hash of their code points. The cache is emptied beyond ``max_words``.
+and looked up by a 64-bit hash of their code points; the words behind equal hashes are compared, and texts with two
+words of one hash are encoded by the library as they are. The cache is emptied beyond ``max_words``.
 Strings of special tokens are ordinary text.
 """
 
@@ -18,8 +19,8 @@ import numpy as np
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = 1, 2, 3, 0, 4
 
-#: Characters that one pass of array operations takes.
-PASS_CHARS = 1 << 20
+#: Characters that one pass of array operations takes, and words that are kept apart before they are merged.
+PASS_CHARS, LATEST = 1 << 18, 1 << 15
 
 _classes: np.ndarray | None = None
 _encoders: dict[str, WordEncoder] = {}
@@ -131,21 +132,43 @@ def split_long(text: str, limit: int = PASS_CHARS) -> list[str]:
     return [*pieces, text[at:]] if at < len(text) or not pieces else pieces
 
 
+class Growing:
+    """An array that is appended to; its room doubles, so appending does not copy it each time."""
+
+    def __init__(self, first: list[int], dtype: type):
+        self.room, self.n = np.array(first, dtype), len(first)
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            wider = np.empty(max(2 * len(self.room), self.n + len(more), 1024), self.room.dtype)
+            wider[: self.n] = self.room[: self.n]
+            self.room = wider
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class WordEncoder:
-    """Ids of texts; keeps the ids of up to ``max_words`` distinct words."""
+    """Ids of texts; keeps the ids of up to ``max_words`` distinct words, some 80 bytes each."""
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.max_words = max_words
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.ids, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        # hashes with their slots: many that are sorted, and the latest, sorted apart until there are enough to merge
+        self.tiers = [(np.empty(0, np.uint64), np.empty(0, np.int32)) for _ in range(2)]
+        self.ids, self.offsets = Growing([], np.uint32), Growing([0], np.int32)
+        self.points, self.ends = Growing([], np.uint32), Growing([0], np.int32)  # the words themselves, as the slots have them
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): text i has ``ids[offsets[i]:offsets[i + 1]]``."""
@@ -169,30 +192,58 @@ class WordEncoder:
         sizes = np.diff(at, append=len(points))
         hashes = _hashes(points, at, sizes)
         word = kind != BREAK
+        points_kept = np.ones(len(points), bool)
+        points_kept[breaks] = False
         at, sizes, hashes = at[word], sizes[word], hashes[word]
         if not len(at):
             return np.empty(0, np.uint32)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(distinct, at[first], sizes[first], joined)
-        per_word = np.diff(self.offsets)[slots][which]
-        ids = self.ids[gather(self.offsets[slots][which], per_word)]
+        slots = self._slots(distinct, at[first], sizes[first], joined, points)
+        begin, end = self.ends.all[slots], self.ends.all[slots + 1]
+        if not np.array_equal((end - begin)[which], sizes):
+            return self._plain(group, counts)
+        said = points[points_kept]  # the words' code points, one word after another
+        index = np.repeat((begin[which] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        index += np.arange(len(said), dtype=np.int32)
+        if not np.array_equal(self.points.all[index], said):
+            return self._plain(group, counts)
+        first_id = self.offsets.all[slots]
+        per_word = (self.offsets.all[slots + 1] - first_id)[which]
+        ids = self.ids.all[gather(first_id[which], per_word)]
         ends = np.concatenate([[0], np.cumsum(per_word)])[np.searchsorted(at, breaks)]
         np.add.at(counts, [i for i, _ in group], np.diff(ends, prepend=0))
         return ids
 
-    def _slots(self, distinct: np.ndarray, at: np.ndarray, sizes: np.ndarray, joined: str) -> np.ndarray:
-        if len(self.keys) + len(distinct) > self.max_words:
+    def _plain(self, group: list[tuple[int, str]], counts: np.ndarray) -> np.ndarray:
+        """Ids by the library alone, where two words have one hash."""
+        coded = [e.ids for e in self.tokenizer.encode_batch([p for _, p in group], add_special_tokens=False)]
+        np.add.at(counts, [i for i, _ in group], [len(c) for c in coded])
+        return np.fromiter((x for c in coded for x in c), np.uint32)
+
+    def _slots(self, distinct: np.ndarray, at: np.ndarray, sizes: np.ndarray, joined: str, points: np.ndarray) -> np.ndarray:
+        if self.offsets.n + len(distinct) > self.max_words:
             self.clear()
-        place = np.searchsorted(self.keys, distinct)
-        known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
+        found = np.full(len(distinct), -1, np.int64)
+        for keys, slots in self.tiers:
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                known = keys[place] == distinct
+                found[known] = slots[place[known]]
+        new = np.flatnonzero(found < 0)
         if len(new):
             words = [joined[a : a + s] for a, s in zip(at[new].tolist(), sizes[new].tolist(), strict=True)]
             coded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            base = len(self.offsets) - 1
-            self.ids = np.concatenate([self.ids, np.fromiter((x for c in coded for x in c), np.uint32)])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(c) for c in coded])])
-            self.slots = np.insert(self.slots, place[new], base + np.arange(len(new)))
-            self.keys = np.insert(self.keys, place[new], distinct[new])
-            place = np.searchsorted(self.keys, distinct)
-        return self.slots[place]
+            found[new] = self.offsets.n - 1 + np.arange(len(new))
+            self.points.extend(points[gather(at[new], sizes[new])])
+            self.ends.extend(self.ends.all[-1] + np.cumsum(sizes[new]))
+            self.ids.extend(np.fromiter((x for c in coded for x in c), np.uint32))
+            self.offsets.extend(self.offsets.all[-1] + np.cumsum([len(c) for c in coded]))
+            many, latest = self.tiers
+            latest = self._merged(latest, (distinct[new], found[new].astype(np.int32)))
+            self.tiers = [self._merged(many, latest), (latest[0][:0], latest[1][:0])] if len(latest[0]) > LATEST else [many, latest]
+        return found
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], place, b[0]), np.insert(a[1], place, b[1])

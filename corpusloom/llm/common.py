@@ -1,41 +1,90 @@
-"""Shared helpers: the shared folder, tables written there, and column hygiene."""
+"""Shared helpers: the shared folder, tables written there, column hygiene, and Python workers that give memory back."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import load, shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+table = load
+
+#: Bytes of a batch that goes to Python, unless one row has more, and rows that a Parquet reader holds at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
+
+#: Ids that are broadcast at most (8 MB, some 50 MB as a hash table); more are joined by a shuffle.
+MAX_IDS = 1_000_000
 
 
 def stash(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/corpusloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc_id, text)`` with null text as the empty string; other columns are pruned."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def own(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not: ``name``, with as many ``_`` before it as it takes; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most ``MAX_IDS`` rows; else it joins by a shuffle."""
+    return F.broadcast(ids) if ids.limit(MAX_IDS + 1).count() <= MAX_IDS else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # only glibc has it
+        return None
+
+
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system; workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits what is read and sent to Python at once in this session, so that long texts come a few at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+
+
+def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes, that releases its worker's memory behind each partition."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
