@@ -10,22 +10,22 @@ Fitting takes at most ``max_rows`` labelled rows (a documented bound), the first
 so the fit runs on the driver in bounded memory whatever the corpus holds.
 
 Edge cases: null and empty text have no features and score the intercept; repeated rows score alike;
-without labels of both kinds the model is the label's rate (0.5 without any).
+without labels of both kinds the model is the label's rate (0.5 without any); a score of exactly the bound is
+toxic; very long texts are read in passes; an empty table gives an empty result; of extra columns only one with
+the name of the score clashes: ``score`` replaces it, ``drop_toxic`` keeps it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import texts
-from .token_files import slices
+from .common import bound_batches, own, release, spare, texts
+from .token_files import text_slices
 
 BITS, SIZES = 18, (3, 4, 5)
 
@@ -86,8 +86,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(words: list[str], labels: np.ndarray, bits: int = BITS, sizes: tuple[int, ...] = SIZES, alpha: float = 1.0, ridge: float = 1.0, least: int = 5, keep: int = 4096, steps: int = 300) -> Model:
-    """Fits a model. ``least``: texts that a place must occur in; ``keep``: places with the largest ratios that get weights."""
+def fit(words: list[str], labels: np.ndarray, bits: int = BITS, sizes: tuple[int, ...] = SIZES, alpha: float = 1.0, ridge: float = 1.0, doubt: float = 3.0, steps: int = 300) -> Model:
+    """Fits a model. Places get weights if their ratio is beyond ``doubt`` of its standard errors, however many those are."""
     labels = np.asarray(labels, np.float64)
     size, n = 1 << bits, len(words)
     rate = (labels.sum() + 0.5) / (n + 1)
@@ -100,12 +100,7 @@ def fit(words: list[str], labels: np.ndarray, bits: int = BITS, sizes: tuple[int
         (positive if label > 0 else negative)[row] += 1  # a text's places are distinct
     p, q = (positive + alpha) / (labels.sum() + 2 * alpha), (negative + alpha) / (n - labels.sum() + 2 * alpha)
     ratio = np.log(p) - np.log(q)
-    seen = positive + negative
-    # places that tell most: the ratio, less its standard error, so that rare chance places come last
-    doubt = np.sqrt(1 / (positive + alpha) + 1 / (negative + alpha))
-    told = np.where(seen >= least, np.maximum(0, np.abs(ratio) - 2 * doubt), 0)
-    chosen = np.argsort(-told, kind="stable")[:keep]
-    chosen = chosen[told[chosen] > 0]
+    chosen = np.flatnonzero(np.abs(ratio) > doubt * np.sqrt(1 / (positive + alpha) + 1 / (negative + alpha)))
     index = np.full(size, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     for i, row in enumerate(rows):  # only the chosen places stay in memory
@@ -135,26 +130,33 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> Model:
-    """A model from ``labels(doc_id, toxic)`` outside the held-out fold; only so many rows reach the driver."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    """A model from ``labels(doc_id, toxic)`` outside the held-out fold; only so many rows reach the driver.
+
+    A document that is labelled more than once is toxic if any label says so; one with several texts gives its least.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    told = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = rows.toArrow().sort_by("doc_id")
     return fit(got.column("text").to_pylist(), got.column("toxic").to_numpy(), **options)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a double column ``toxicity``; other columns are kept."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # one megabyte
-    clean = docs.drop("toxicity")
-    names = clean.columns
-    at = names.index(text)
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """``docs`` with a double column ``into``; a column of that name is replaced. Only the texts go to Python."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one megabyte
+
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        found = [shared.value.score(words) for words in text_slices(column)]
+        release()
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
+
+    return docs.withColumn(into, scored(F.coalesce(F.col(text), F.lit(""))))
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.score([w or "" for w in words]) for _, words in slices([pa.RecordBatch.from_arrays([batch.column(0), batch.column(at)], names=["k", "t"])])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], names=[*names, "toxicity"])
 
-    schema = StructType([*clean.schema.fields, StructField("toxicity", DoubleType())])
-    return clean.mapInArrow(scores, schema)
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", most: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``most`` or more; all its columns are kept, whatever their names."""
+    at = spare(docs, "toxicity")
+    return score(docs, model, text, at).where(F.col(at) < most).select(*own(docs))
