@@ -3,33 +3,42 @@
 Lengths are integers up to the capacity, so a histogram (one count a length) says all that the plan
 needs, however large the corpus. On it the driver
 
-1. sorts large lengths, cuts them into groups of equal cardinality and rounds each up to its group's
-   largest length (4,096 groups: with more groups less is lost to rounding, and the plan stays small);
+1. sorts large lengths, cuts them into ``GROUPS`` groups of equal cardinality and rounds each up to its group's
+   largest length;
 2. builds configurations of the few rounded lengths: the longest one left, filled by an exact bounded
    subset-sum over the others, repeated while the counts allow;
 3. puts the groups' actual lengths in place of the rounded ones;
-4. gives small lengths, longest first, to the sequences with the least room that they fit in.
+4. keeps the sequences with no more than ``SLACK`` tokens of room, takes the others apart and starts again with what
+   they held: fewer pieces in as many groups are rounded less;
+5. gives small lengths, longest first, to the sequences with the least room that they fit in.
 
-The plan is a list of runs (so many sequences alike) of a size that only the capacity bounds. Pieces
-get ranks within their length, in parallel, and look up their sequence and offset by rank.
+The plan is a list of runs (so many sequences alike) of a size that the capacity, the groups and the rounds bound.
+Pieces get ranks within their length, in parallel, and look up their sequence and offset by rank.
 
-Edge cases: null text is empty and holds its end id; repeated rows are packed one by one; an empty
-table gives no piece.
+Edge cases: null text is empty and holds its end id; repeated rows are packed one by one, and ties of length go by the
+other columns; very long texts are cut into pieces; an empty table gives no piece; extra columns of documents are
+dropped, those of pieces kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, texts
+from .common import map_arrow, own, small, spare, stash, texts
 from .token_files import slices
 
+#: Groups of large lengths, room in tokens that a sequence may keep before the last round, and rounds at most.
+GROUPS, SLACK, ROUNDS = 256, 2, 200
+
+#: Pieces of one length that are ranked together, about.
+SHARE = 1 << 17
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -53,7 +62,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_b
             raw, at = ids.astype("<u4").tobytes(), (offsets[doc] + start) * 4
             yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in doc.tolist()], pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([raw[a : a + 4 * b] for a, b in zip(at.tolist(), length.tolist(), strict=True)], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return texts(docs).mapInArrow(pieces, PIECES)
+    return map_arrow(texts(docs), pieces, PIECES)
 
 
 class Run:
@@ -86,25 +95,46 @@ def _fill(room: int, sizes: list[int], left: dict[int, int]) -> list[int]:
     return chosen
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 4096, small: float = 1 / 16) -> list[Run]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = 1 / 16, slack: int = SLACK) -> list[Run]:
     """Runs of alike sequences that hold each piece of the histogram once."""
-    large = sorted((s for s in histogram if s > capacity * small), reverse=True)
-    total = sum(histogram[s] for s in large)
-    each = max(1, -(-total // groups))
-    rounded: dict[int, int] = {}
+    runs: list[Run] = []
+    left = {s: n for s, n in histogram.items() if s > capacity * small}
+    for turn in range(ROUNDS):
+        members = _groups(left, groups)
+        exact = all(len({s for s, _ in m}) == 1 for m in members.values())
+        made = [r for config, times in _configurations(members, capacity) for r in _substitute(config, times, members, capacity)]
+        tight = sum(r.count * len(r.lengths) for r in made if r.room <= slack)
+        if exact or tight * 1000 < sum(left.values()) or turn == ROUNDS - 1:  # nothing is rounded any more, or little comes of it
+            runs += made
+            break
+        runs += [r for r in made if r.room <= slack]
+        left = {}
+        for r in made:
+            for s in r.lengths if r.room > slack else ():
+                left[s] = left.get(s, 0) + r.count
+    return _best_fit(runs, {s: n for s, n in histogram.items() if s <= capacity * small}, capacity)
+
+
+def _groups(left: dict[int, int], groups: int) -> dict[int, list[list[int]]]:
+    """Groups of equal cardinality, longest first: a group's largest length, and its ``[length, count]`` from long to short."""
+    each = max(1, -(-sum(left.values()) // groups))
     members: dict[int, list[list[int]]] = {}
     held, top = 0, 0
-    for s in large:
-        left = histogram[s]
-        while left:
+    for s in sorted(left, reverse=True):
+        n = left[s]
+        while n:
             if not held:
                 top = s
-            take = min(left, each - held)
-            rounded[top] = rounded.get(top, 0) + take
+            take = min(n, each - held)
             members.setdefault(top, []).append([s, take])
-            held, left = (held + take) % each, left - take
-    runs: list[Run] = []
-    sizes = sorted(rounded, reverse=True)
+            held, n = (held + take) % each, n - take
+    return members
+
+
+def _configurations(members: dict[int, list[list[int]]], capacity: int) -> list[tuple[list[int], int]]:
+    """``(rounded lengths, times)``: the longest one left, filled by the fullest subset sum over the others, as often as the counts allow."""
+    rounded = {top: sum(n for _, n in m) for top, m in members.items()}
+    found, sizes = [], sorted(rounded, reverse=True)
     while sizes:
         first = sizes[0]
         rounded[first] -= 1
@@ -114,8 +144,8 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 4096, small: fl
         for s in config:
             rounded[s] -= times
         sizes = [s for s in sizes if rounded[s]]
-        runs += _substitute(config, times, members, capacity)
-    return _best_fit(runs, {s: n for s, n in histogram.items() if s <= capacity * small}, capacity)
+        found.append((config, times))
+    return found
 
 
 def _take(queue: list[list[int]], n: int) -> list[tuple[int, int]]:
@@ -185,35 +215,34 @@ def slots(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
     return found
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 4096, buckets: int = 64) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``capacity``.
+def pack(pieces: DataFrame, capacity: int = 2048, groups: int = GROUPS) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; ``length`` is from 1 to ``capacity``. Columns of these two names are kept, and the new ones get ``_`` before theirs.
 
-    ``pieces`` is read twice; give a written table. Ranks within a length come from ``buckets`` shares
-    of it, so that a length that a third of all pieces have is not ranked in one task.
+    ``pieces`` is read three times; give a written table. A rank within a length comes from shares of the length of
+    about ``SHARE`` pieces each, so a length that a third of all pieces have is ranked in as many tasks as it needs.
     """
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets).cast("long")).cast("int"))
-    counts = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    sizes = [(r["length"], r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()]  # at most ``capacity`` rows
-    if any(not 0 < s <= capacity for s, _ in sizes):
-        raise ValueError("a length is beyond the capacity")
-    table = slots(plan(dict(sizes), capacity, groups))
     spark = pieces.sparkSession
-    ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    before = counts.select("length", "_bucket", (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*pieces.columns)).cast("long") - 1
-    ranked = rows.withColumn("_rank", rank).join(F.broadcast(before), ["length", "_bucket"])  # capacity times buckets rows at most
-    where = spark.createDataFrame(pa_rows(table), "length long, _first long, _end long, _sequence long, offset long")
-    at = F.col("_rank") + F.col("_before")
-    ranked = ranked.withColumn("_at", at).alias("p")
-    placed = ranked.join(F.broadcast(where).alias("w"), (F.col("p.length") == F.col("w.length")) & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_end")))  # the plan's size depends on the capacity alone
-    return placed.select(*[F.col(f"p.{c}").alias(c) for c in pieces.columns], (F.col("_sequence") + F.col("_at") - F.col("_first")).alias("sequence_id"), F.col("w.offset").alias("offset"))
-
-
-def pa_rows(rows: list[tuple]) -> pa.Table | list[tuple]:
-    if not rows:
-        return []
-    columns = list(zip(*rows, strict=True))
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["length", "_first", "_end", "_sequence", "offset"])
+    sizes = [(r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most ``capacity`` rows
+    if any(s is None or not 0 < s <= capacity for s, _ in sizes):
+        raise ValueError("a length is beyond the capacity")
+    runs = plan(dict(sizes), capacity, groups)
+    shares = spark.createDataFrame(arrow([(s, -(-n // SHARE)) for s, n in sizes], ("length", "shares")), "length long, shares long")
+    rows = pieces.select(F.struct(*own(pieces)).alias("row"), F.col("length").cast("long").alias("length"))
+    rows = rows.join(F.broadcast(shares), "length").select("row", "length", F.pmod(F.xxhash64("row"), F.col("shares")).alias("share"))
+    counts = rows.groupBy("length", "share").agg(F.count("*").alias("n"))  # at most capacity + pieces / SHARE rows
+    ahead = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, 0)
+    before = stash(counts.select("length", "share", (F.sum("n").over(ahead) - F.col("n")).alias("before")), "shares")
+    rank = F.row_number().over(Window.partitionBy("length", "share").orderBy("row")).cast("long") - 1
+    ranked = rows.withColumn("rank", rank).join(small(before), ["length", "share"]).select("row", "length", (F.col("rank") + F.col("before")).alias("at"))
+    # the plan has at most ROUNDS * (2 * groups + capacity) runs of at most 16 large lengths, whatever the number of pieces
+    where = spark.createDataFrame(arrow(slots(runs), ("to", "first", "last", "sequence", "offset")), "to long, first long, last long, sequence long, offset long")
+    placed = ranked.join(F.broadcast(where), (F.col("length") == F.col("to")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
+    return placed.select(*[F.col("row")[c].alias(c) for c in pieces.columns], (F.col("sequence") + F.col("at") - F.col("first")).alias(spare(pieces, "sequence_id")), F.col("offset").alias(spare(pieces, "offset")))
+
+
+def arrow(rows: list[tuple], names: Sequence[str]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> tuple[DataFrame, DataFrame]:
