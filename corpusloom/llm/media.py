@@ -5,8 +5,10 @@ takes short-time Fourier transforms and pairs of spectral peaks. A peak is the s
 band that is also stronger than the same bin a frame before and after; each peak is paired with the
 next few, and a pair is stored as its time (frame) and a code of both bins and their distance.
 
-Edge cases: null and empty text give one block of zero bytes; equal texts give equal bytes and
-fingerprints; long texts are transformed a block of frames at a time.
+Edge cases: null and empty text give one block of zero bytes; equal texts, so repeated rows too, give equal
+bytes and fingerprints; of bins of equal strength the lowest is the peak, of equal frames the first; long texts are
+transformed a block of frames at a time; an empty table gives an empty result; extra columns are dropped, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
-from .token_files import slices
+from .common import map_arrow, texts
+from .token_files import cuts, slices
 
 RATE, PAD = 8000, 64
 FRAME, HOP, BLOCK = 256, 128, 2048
 BANDS = ((1, 8), (8, 20), (20, 48), (48, 129))
 FAN_OUT, REACH = 3, 63
 
-_window = np.hanning(FRAME).astype(np.float32)
+_window = np.hanning(FRAME + 2)[1:-1].astype(np.float32)  # no sample weighs nothing
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -50,17 +52,21 @@ def padded(raw: bytes, to: int = PAD) -> bytes:
     return raw + bytes(-len(raw) % to if raw else to)
 
 
-def spectra(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first frame, magnitudes) by blocks of frames; neighbouring blocks share two frames."""
+def spectra(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(first frame, magnitudes, whether these are the last) by blocks of frames; neighbouring blocks share two frames.
+
+    The last frame is filled up with silence, so every sample is in a frame.
+    """
     x = samples.astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    hops = -(-max(0, len(x) - FRAME) // HOP)
+    x = np.pad(x, (0, FRAME + hops * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     at = 0
     while True:
         part = frames[at : at + BLOCK + 2]
-        yield at, np.abs(np.fft.rfft(part * _window, axis=1))
-        if at + BLOCK + 2 >= len(frames):
+        last = at + BLOCK + 2 >= len(frames)
+        yield at, np.abs(np.fft.rfft(part * _window, axis=1)), last
+        if last:
             return
         at += BLOCK
 
@@ -68,7 +74,7 @@ def spectra(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frames, bins) of the spectral peaks, by frame, then bin."""
     times, bins = [], []
-    for at, m in spectra(samples):
+    for at, m, last in spectra(samples):
         n = len(m)
         found_t, found_b = [], []
         for low, high in BANDS:
@@ -79,8 +85,7 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             before[1:], after[:-1] = m[rows[:-1], b[1:]], m[rows[1:], b[:-1]]
             keep = (own > before) & (own >= after) & (own > 0)
             keep[0] &= at == 0
-            if n == BLOCK + 2:
-                keep[-1] = False
+            keep[-1] &= last
             found_t.append(rows[keep] + at)
             found_b.append(b[keep])
         t, b = np.concatenate(found_t), np.concatenate(found_b)
@@ -112,7 +117,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
             raw = [w.encode() for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([to_wav(padded(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return texts(docs).mapInArrow(encode, "doc_id bigint, n_bytes bigint, media binary")
+    return map_arrow(texts(docs), encode, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -120,12 +125,12 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for a, b in cuts(batch.column(2), 1 << 20):
+                part = batch.slice(a, b - a)
                 payloads = [from_wav(x.as_py()) for x in part.column(2)]
                 prints = [fingerprint(np.frombuffer(p, np.uint8)) for p in payloads]
                 ends = np.concatenate([[0], np.cumsum([len(t) for t, _ in prints])]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p[i] for p in prints]))) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(payloads, pa.binary()), *lists], names=["doc_id", "n_bytes", "media", "payload", "fp_times", "fp_codes"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id bigint, n_bytes bigint, media binary, payload binary, fp_times array<int>, fp_codes array<int>")
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), read, "doc_id bigint, n_bytes bigint, media binary, payload binary, fp_times array<int>, fp_codes array<int>")
