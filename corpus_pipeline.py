@@ -6,7 +6,9 @@
 4. ``secrets`` redacts findings within texts; it keeps every document.
 5. ``packing`` returns the packed pieces of all that is left.
 
-Stages 1 to 4 return the columns of ``documents``. Null texts count as empty and are kept.
+Stages 1 to 4 return the columns of ``documents``, extra ones too, whatever their names. Null texts count as empty and
+are kept, as are rows without an id; of repeated rows of one id all are kept or none; ties go to the least id; very
+long texts are read whole; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -25,16 +27,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_first(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select(*docs.columns)
+    return jaccard_join.keep_first(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
