@@ -51,4 +51,4 @@ FROM ruled
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op8_chat_formatting": OP8, "op10_url_filters": OP10}
+    return {"op1_sharding": OP1, "shards_of_256_kb": OP1.replace("33554432", str(1 << 18)), "op8_chat_formatting": OP8, "op10_url_filters": OP10}

@@ -17,6 +17,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs).select("doc_id", "shard", "depth", "bytes", "shard_bytes")
 
 
+def shards_of_256_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op1`` with a limit that small tables split at too."""
+    from . import sharding
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("bytes"))
+    return sharding.assign_shards(docs, limit=1 << 18).select("doc_id", "shard", "depth", "bytes", "shard_bytes")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -107,4 +115,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
+    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)} | {"shards_of_256_kb": shards_of_256_kb}
