@@ -59,39 +59,46 @@ def apportion_groups(df: DataFrame, group: str, weight: Column, total: int) -> D
 def coverage_greedy(rows: list[tuple], count: int, seed: str, purpose: str, taken: Sequence[tuple] = ()) -> list[tuple]:
     """``count`` of ``(key, a, b)``, each time the one whose a, b and pair were taken least, then by stable hash.
 
-    Sequential by definition, so it runs on the driver over group representatives, not rows.
+    Sequential by definition, so it runs on the driver over group representatives, not rows. Of one pair the least hash
+    goes first, so a step looks at the pairs only.
     """
     import hashlib
     from collections import Counter
 
     by_a, by_b, by_pair = Counter(x[1] for x in taken), Counter(x[2] for x in taken), Counter(x[1:3] for x in taken)
-    digest = {x[0]: hashlib.sha256(f"{seed}:{purpose}:{x[0]}".encode()).hexdigest() for x in rows}
-    left, chosen = list(rows), []
-    while left and len(chosen) < count:
-        best = min(left, key=lambda x: (by_a[x[1]], by_b[x[2]], by_pair[x[1:3]], digest[x[0]]))
-        left.remove(best)
-        chosen.append(best)
-        by_a[best[1]] += 1
-        by_b[best[2]] += 1
-        by_pair[best[1:3]] += 1
+    queues: dict[tuple, list[tuple]] = {}
+    for x in rows:
+        queues.setdefault(x[1:3], []).append((hashlib.sha256(f"{seed}:{purpose}:{x[0]}".encode()).hexdigest(), x))
+    for queue in queues.values():
+        queue.sort(key=lambda q: q[0], reverse=True)
+    chosen: list[tuple] = []
+    while queues and len(chosen) < count:
+        pair = min(queues, key=lambda p: (by_a[p[0]], by_b[p[1]], by_pair[p], queues[p][-1][0]))
+        chosen.append(queues[pair].pop()[1])
+        if not queues[pair]:
+            del queues[pair]
+        by_a[pair[0]] += 1
+        by_b[pair[1]] += 1
+        by_pair[pair] += 1
     return chosen
 
 
-def family_splits(df: DataFrame, family: str, a: str, b: str, ratios: Mapping[str, float], seed: str, most: int = 100_000) -> DataFrame:
-    """Adds ``split``: whole families to exact split sizes, coverage-aware. Families, at most ``most``, go to the driver; rows don't."""
+#: Families whose splits are broadcast at most; more are joined by a shuffle.
+MAX_FAMILIES = 1_000_000
+
+
+def family_splits(df: DataFrame, family: str, a: str, b: str, ratios: Mapping[str, float], seed: str) -> DataFrame:
+    """Adds ``split``: whole families to exact split sizes, coverage-aware. One row a family goes to the driver; rows don't."""
     heads = df.groupBy(family).agg(F.min_by(F.struct(a, b), F.col(a)).alias("r"))
-    rows = sorted((r[family], r["r"][a], r["r"][b]) for r in heads.limit(most + 1).collect())
-    if len(rows) > most:
-        raise ValueError("too many families for a sequential selection")
+    rows = sorted((r[family], r["r"][a], r["r"][b]) for r in heads.toLocalIterator())
     sizes = apportion(len(rows), ratios)
     first, *others = list(ratios)
     where: dict = {}
     for name in reversed(others):
         for x in coverage_greedy([x for x in rows if x[0] not in where], sizes[name], seed, name):
             where[x[0]] = name
-    spark = df.sparkSession
-    named = spark.createDataFrame([(x[0], where.get(x[0], first)) for x in rows], heads.select(family).schema.add("split", "string"))
-    return df.join(F.broadcast(named), family)
+    named = df.sparkSession.createDataFrame([(x[0], where.get(x[0], first)) for x in rows], heads.select(family).schema.add("split", "string"))
+    return df.join(F.broadcast(named) if len(rows) <= MAX_FAMILIES else named, family)
 
 
 def exact_subset(groups: Sequence[tuple[str, int, int]], want_g: int, want_b: int) -> list[str] | None:
@@ -106,6 +113,35 @@ def exact_subset(groups: Sequence[tuple[str, int, int]], want_g: int, want_b: in
     return None if found is None else list(found)
 
 
+def split_violations(rows: DataFrame, group: Sequence[str], sample: str, expected: Mapping[int, int] | None = None) -> DataFrame:
+    """``(id, reason)`` of what forbids a split of ``rows(id, set_number, prompt, ...)`` by released set.
+
+    Ids are unique, sets are 1 or 2, a sample occurs once in a group, no prompt is on both sides, and the sides have their
+    ``expected`` sizes (these reasons have the set as id). No rows: the split holds.
+    """
+    text = F.col("id").cast("string")
+    n = lambda keys, name: rows.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > 1)
+    twice = n(["id"], "_n").select(text.alias("id"), F.lit("duplicate_id").alias("reason"))
+    odd = rows.where(~F.coalesce(F.col("set_number").isin(1, 2), F.lit(False))).select(text.alias("id"), F.lit("bad_set_number").alias("reason"))
+    keyed = rows.withColumn("_s", F.upper(sample))
+    again = keyed.groupBy(*group, "set_number", "_s").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where("_n > 1").select(text.alias("id"), F.lit("duplicate_sample").alias("reason"))
+    both = rows.groupBy("prompt").agg(F.min(F.when(F.col("set_number") == 1, F.col("id"))).alias("a"), F.min(F.when(F.col("set_number") == 2, F.col("id"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("string").alias("id"), F.lit("prompt_on_both_sides").alias("reason"))
+    found = twice.unionByName(odd).unionByName(again).unionByName(both)
+    if expected is not None:
+        sizes = rows.agg(*[F.count_if(F.col("set_number") == s).alias(f"n_{s}") for s in expected])
+        wrong = F.filter(F.array(*[F.when(F.col(f"n_{s}") != k, F.lit(str(s))) for s, k in expected.items()]), lambda x: x.isNotNull())
+        found = found.unionByName(sizes.select(F.explode(wrong).alias("id"), F.lit("wrong_count").alias("reason")))
+    return found
+
+
+def split_by_set(rows: DataFrame, group: Sequence[str], sample: str, expected: Mapping[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(set 1, set 2); an error where ``split_violations`` has any."""
+    bad = split_violations(rows, group, sample, expected).orderBy("reason", "id").first()
+    if bad is not None:
+        raise ValueError(f"{bad['id']}: {bad['reason']}")
+    return rows.where("set_number = 1"), rows.where("set_number = 2")
+
+
 def matched_lengths(df: DataFrame, key: str, bucket: str, length: str, target: DataFrame, quota: int) -> DataFrame:
     """For each bucket ``quota`` rows whose length ranks follow a target's: row i takes the target's quantile i.
 

@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from . import audit_queries, gate_queries, join_queries, metric_queries, select_queries, source_queries, text_queries  # noqa: F401
+    from . import audit_queries, gate_queries, join_queries, metric_queries, report_queries, select_queries, source_queries, text_queries  # noqa: F401

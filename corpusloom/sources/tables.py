@@ -104,11 +104,12 @@ def write_json_atomic(path: str, value: Mapping, backup: bool = False) -> None:
 
 
 def prefix_tables(df: DataFrame, order: str, sizes: Iterable[int]) -> dict[int, tuple[DataFrame, str]]:
-    """The first n rows by ``order`` for each n, with a digest of their JSON lines."""
+    """The first n rows by ``order`` for each n, with a digest of their JSON lines in that order."""
     found = {}
     for n in sizes:
         part = df.orderBy(order).limit(n)
-        digest = part.select(F.to_json(F.struct(*part.columns)).alias("j")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("j")), "\n"), 256)).first()[0]
+        lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.struct(*part.columns)).alias("j"))))
+        digest = part.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["j"]), "\n"), 256)).first()[0]
         found[n] = part, digest
     return found
 
