@@ -91,6 +91,18 @@ def grams(df: DataFrame, key: str, text: Column, k: int, out: str = "gram", dist
     return found.distinct() if distinct else found
 
 
+def span_keys(x: Column, k: int) -> Column:
+    """128 bits of each k-word span of a normalized text, in order, within the row: two hashes, as ``span_key`` gives them."""
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: span_key(F.slice(w, i, k)))
+    # the words are bound once, as the one element of an array
+    return F.flatten(F.transform(F.filter(F.array(words(normalize(x))), lambda w: F.size(w) >= k), each))
+
+
+def span_key(span: Column) -> Column:
+    """Two hashes of a span's words."""
+    return F.struct(F.xxhash64(span).alias("a"), F.xxhash64(F.lit(1), span).alias("b"))
+
+
 def sentences(x: Column) -> Column:
     """Split behind . ! ? and white space, and at line breaks; blank parts dropped."""
     return F.filter(F.transform(F.split(strip(x), "(?<=[.!?])\\s+|\\n+"), strip), lambda s: s != "")

@@ -83,7 +83,7 @@ def leaked_ids(cases: DataFrame, held: DataFrame, same_prompt_only: bool = False
     near = F.col("x") >= F.lit(0.82) * (F.col("n") + F.col("m") - F.col("x"))
     over = F.col("x") >= F.least(F.lit(40).cast("double"), F.col("n") * 0.75)
     copies = shared.where(F.when((F.col("p") != "") & (F.col("p") == F.col("q")), near).otherwise(over)).select("id")
-    spans = T.grams(a, "id", F.col("text"), 8, distinct=False).join(T.grams(b.withColumnRenamed("id", "other"), "other", F.col("text"), 8).select("gram").distinct(), "gram").distinct()
+    spans = O.met_spans(a, T.grams(b.withColumnRenamed("id", "other"), "other", F.col("text"), 8).select("gram").distinct(), "id", 8).distinct()
     echoed = T.grams(a.select("id", F.col("p").alias("text")), "id", F.col("text"), 8)
     return short.unionByName(copies).unionByName(spans.join(echoed, ["id", "gram"], "left_anti").select("id")).distinct()
 

@@ -19,6 +19,9 @@ def token_sets(df: DataFrame, key: str, text: str = "text", least: int = 4) -> D
 #: Words whose order is looked up in a broadcast table, at most.
 MAX_FREQUENT = 200_000
 
+#: Spans or words of the other table that are broadcast at most; more are joined by a shuffle.
+MAX_SPANS = 1_000_000
+
 
 def frequent_words(sets: DataFrame) -> DataFrame:
     """``(w, c)`` of words in so many sets that at most ``MAX_FREQUENT`` words can be."""
@@ -66,13 +69,38 @@ def jaccard_pairs(df: DataFrame, key: str, text: str = "text", threshold: float
 def cross_overlap(left: DataFrame, right: DataFrame, key: str, other: str, cap: int = 40, share: float = 0.75) -> DataFrame:
     """``(key, other, shared)`` where a text shares min(cap, share of its own words) with one of another table: asymmetric.
 
-    A text is listed under its rarest words only, all but as many as it must share less one; the other table under all.
+    So little has to be shared that most words must be looked at; the other table's words are broadcast where they are
+    few enough, so that no word is a join key of a shuffle, and shared words are counted by a partial aggregate.
     """
-    x, y = (d.select(F.col(c).alias("k"), T.fingerprint(F.col("text")).alias("s")).select("k", F.size("s").alias("n"), "s") for d, c in ((left, key), (right, other)))
-    need = F.least(F.lit(cap).cast("double"), F.col("n") * share)
-    pairs = rarest(x, frequent_words(x), F.col("n") - F.ceil(need) + 1).select("k", "w").join(y.select(F.col("k").alias("o"), F.explode("s").alias("w")), "w").select("k", "o").distinct()
-    both = pairs.join(x, "k").join(y.select(F.col("k").alias("o"), F.col("s").alias("t")), "o").withColumn("shared", F.size(F.array_intersect("s", "t")).cast("long"))
-    return both.where(F.col("shared") >= need).select(F.col("k").alias(key), F.col("o").alias(other), "shared")
+    from ..sources.tables import durable
+
+    a = token_sets(left, key).withColumnRenamed("n", "n_left")
+    b = durable(token_sets(right, other).drop("n"))
+    if b.limit(MAX_SPANS + 1).count() <= MAX_SPANS:
+        b = F.broadcast(b)
+    shared = a.join(b, "token").groupBy(key, other, "n_left").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= F.least(F.lit(cap).cast("double"), F.col("n_left") * share)).select(key, other, "shared")
+
+
+def similar_to(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``(k)`` of sets ``x(k, n, s)`` with a Jaccard of ``threshold`` or more with one of ``y``.
+
+    The words of a small ``y`` are broadcast and shared ones counted by a partial aggregate; against a large one, sets meet
+    under their rarest words only, and survivors are intersected.
+    """
+    from ..sources.tables import durable
+
+    fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
+    b = durable(y.select("k", "n", F.explode("s").alias("w")))
+    if b.limit(MAX_SPANS + 1).count() <= MAX_SPANS:
+        met = x.select("k", "n", F.explode("s").alias("w")).alias("a").join(F.broadcast(b.alias("b")), (F.col("a.w") == F.col("b.w")) & fits)
+        shared = met.groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("o"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("x"))
+    else:
+        often, most = frequent_words(x), F.col("n") - F.ceil(F.col("n") * threshold) + 1
+        met = rarest(x, often, most).alias("a").join(rarest(y, often, most).alias("b"), (F.col("a.w") == F.col("b.w")) & fits)
+        pairs = met.select(F.col("a.k").alias("k"), F.col("b.k").alias("o")).distinct()
+        shared = pairs.join(x, "k").join(y.select(F.col("k").alias("o"), F.col("n").alias("m"), F.col("s").alias("t")), "o").withColumn("x", F.size(F.array_intersect("s", "t")))
+    return shared.where(F.col("x") >= threshold * (F.col("n") + F.col("m") - F.col("x"))).select("k").distinct()
 
 
 def too_short(text, least: int = 80):
@@ -82,11 +110,25 @@ def too_short(text, least: int = 80):
 
 def shared_spans(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 8, ignore: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Distinct ``(key, other)`` that share a k-word span, spans of ``ignore(text)`` aside."""
-    a = T.grams(left, key, F.col(text), k, distinct=False)
+    known = T.grams(right, other, F.col(text), k)
     if ignore is not None:
         own = T.grams(ignore.select(F.monotonically_increasing_id().alias("_i"), F.col(text)), "_i", F.col(text), k).select("gram").distinct()
-        a = a.join(own, "gram", "left_anti")
-    return a.join(T.grams(right, other, F.col(text), k), "gram").select(key, other).distinct()
+        known = known.join(own, "gram", "left_anti")
+    return met_spans(left, known, key, k, text).select(key, other).distinct()
+
+
+def met_spans(left: DataFrame, known: DataFrame, key: str, k: int, text: str = "text") -> DataFrame:
+    """``(key, ...)`` of each k-word span of a text that is among ``known(gram, ...)``, once for each place.
+
+    Spans are hashed within their row and meet a broadcast table of the known ones, so neither texts nor words are
+    shuffled unless that table is long.
+    """
+    from ..sources.tables import durable
+
+    held = durable(known.withColumn("_k", T.span_key(F.split("gram", " "))))
+    if held.limit(MAX_SPANS + 1).count() <= MAX_SPANS:
+        held = F.broadcast(held)
+    return left.select(key, F.explode(T.span_keys(F.col(text), k)).alias("_k")).join(held, "_k").drop("_k")
 
 
 def leaked_spans(left: DataFrame, prompts: DataFrame, right: DataFrame, key: str, other: str, k: int = 14, echo: float = 0.65, within: int | None = 8) -> DataFrame:
@@ -94,9 +136,8 @@ def leaked_spans(left: DataFrame, prompts: DataFrame, right: DataFrame, key: str
 
     ``prompts(key, prompt)``. A span echoes the prompt if ``echo`` of its words are in it, or ``within`` of them in a row.
     """
-    spans = T.grams(left, key, F.col("text"), k, distinct=False)
     own = prompts.select(key, T.words(T.normalize(F.col("prompt"))).alias("_p"), F.concat(F.lit(" "), T.normalize(F.col("prompt")), F.lit(" ")).alias("_n"))
-    met = spans.join(T.grams(right, other, F.col("text"), k), "gram")  # before the prompts: few spans are shared
+    met = met_spans(left, T.grams(right, other, F.col("text"), k), key, k)  # before the prompts: few spans are shared
     kept = met.join(own, key, "left").where(F.coalesce(F.size(F.filter(F.split("gram", " "), lambda w: F.array_contains("_p", w))) < echo * k, F.lit(True)))
     if within is not None:
         row = lambda i: F.concat(F.lit(" "), F.array_join(F.slice(F.split("gram", " "), i, within), " "), F.lit(" "))
@@ -138,12 +179,7 @@ def first_overlap_reason(df: DataFrame, sources: DataFrame, key: str, source: st
     usable = sources.select(F.col(source), form.alias("norm"), T.scrub(F.col("text"), phrases).alias("text")).where(F.length("norm") >= 80)
     exact = texts.join(usable.select("norm").distinct(), "norm", "left_semi").select(key).withColumn("exact", F.lit(True))
     x, y = (d.select(F.col(c).alias("k"), F.array_distinct(T.words(F.col("norm"))).alias("s")).select("k", F.size("s").alias("n"), "s") for d, c in ((texts, key), (usable, source)))
-    often, most = frequent_words(x), F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    a, b = rarest(x, often, most).alias("a"), rarest(y, often, most).alias("b")
-    fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & fits).select(F.col("a.k").alias("k"), F.col("b.k").alias("o")).distinct()
-    both = pairs.join(x, "k").join(y.select(F.col("k").alias("o"), F.col("n").alias("m"), F.col("s").alias("t")), "o").withColumn("x", F.size(F.array_intersect("s", "t")))
-    near = both.where(F.col("x") >= threshold * (F.col("n") + F.col("m") - F.col("x"))).select(F.col("k").alias(key)).distinct().withColumn("near", F.lit(True))
+    near = similar_to(x, y, threshold).select(F.col("k").alias(key)).withColumn("near", F.lit(True))
     verbatim = shared_spans(texts, usable, key, source, k).select(key).distinct().withColumn("verbatim", F.lit(True))
     joined = texts.select(key, F.length("norm").alias("_n")).join(exact, key, "left").join(near, key, "left").join(verbatim, key, "left")
     reason = F.when(F.col("_n") < 80, "essay_too_short_for_overlap_audit").when(F.col("exact"), "exact_duplicate").when(F.col("near"), "near_duplicate").when(F.col("verbatim"), "verbatim_eight_word_overlap")
