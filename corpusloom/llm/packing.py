@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, own, small, spare, stash, texts
+from .common import MAX_IDS, map_arrow, own, small, spare, stash, texts
 from .token_files import slices
 
 #: Groups of large lengths, room in tokens that a sequence may keep before the last round, and rounds at most.
 GROUPS, SLACK, ROUNDS = 256, 2, 200
 
-#: Pieces of one length that are ranked together, about.
-SHARE = 1 << 17
+#: Pieces of one length that are ranked together, about; more where there would be over half of ``MAX_IDS`` shares.
+SHARE = 1 << 12
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
@@ -226,10 +226,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = GROUPS) -> DataF
     if any(s is None or not 0 < s <= capacity for s, _ in sizes):
         raise ValueError("a length is beyond the capacity")
     runs = plan(dict(sizes), capacity, groups)
-    shares = spark.createDataFrame(arrow([(s, -(-n // SHARE)) for s, n in sizes], ("length", "shares")), "length long, shares long")
+    each = max(SHARE, -(-sum(n for _, n in sizes) // (MAX_IDS // 2)))
+    shares = spark.createDataFrame(arrow([(s, -(-n // each)) for s, n in sizes], ("length", "shares")), "length long, shares long")
     rows = pieces.select(F.struct(*own(pieces)).alias("row"), F.col("length").cast("long").alias("length"))
     rows = rows.join(F.broadcast(shares), "length").select("row", "length", F.pmod(F.xxhash64("row"), F.col("shares")).alias("share"))
-    counts = rows.groupBy("length", "share").agg(F.count("*").alias("n"))  # at most capacity + pieces / SHARE rows
+    counts = rows.groupBy("length", "share").agg(F.count("*").alias("n"))  # at most capacity + MAX_IDS / 2 rows
     ahead = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, 0)
     before = stash(counts.select("length", "share", (F.sum("n").over(ahead) - F.col("n")).alias("before")), "shares")
     rank = F.row_number().over(Window.partitionBy("length", "share").orderBy("row")).cast("long") - 1
