@@ -154,7 +154,7 @@ class Growing:
 class WordEncoder:
     """Ids of texts; keeps the ids of up to ``max_words`` distinct words, some 80 bytes each."""
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
