@@ -67,3 +67,5 @@ def test_links_between_sets_of_two_heads_are_kept(spark, monkeypatch):
     rng.shuffle(rows)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()
     assert {r["component_id"] for r in got} == first_of_groups(rows, 4, 85)
+    near = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert {r["doc_id"] for r in near} == first_of_groups(rows, 5, 80)
