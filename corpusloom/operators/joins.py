@@ -66,11 +66,19 @@ def in_either(rows: DataFrame, ids: DataFrame, hashes: DataFrame, key: str, dige
 
 
 def range_conflicts(rows: DataFrame, key: str, topic: str, split: str, start: str, end: str) -> DataFrame:
-    """``(a, b, topic)``: pairs of a topic in different splits with overlapping ranges: an equi-join with a range filter."""
-    left = rows.select(F.col(key).alias("a"), topic, F.col(split).alias("sa"), F.col(start).alias("s1"), F.col(end).alias("e1"))
-    right = rows.select(F.col(key).alias("b"), topic, F.col(split).alias("sb"), F.col(start).alias("s2"), F.col(end).alias("e2"))
+    """``(a, b, topic)``: pairs of a topic in different splits with overlapping ranges.
+
+    Rows meet by topic and the blocks of values that their ranges cover, each pair in the first block that both have. A block
+    is as wide as the widest range, so a row is in two at most. A range that ends before it starts overlaps those that hold
+    all between its ends, which have its blocks too.
+    """
+    low, high = F.least(start, end), F.greatest(start, end)
+    size = int(rows.agg(F.max(high - low).alias("w")).first()["w"] or 0) + 1
+    held = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_f", F.floor(low / size)).withColumn("_b", F.explode(F.sequence("_f", F.floor(high / size))))
+    left = held.select(F.col(key).alias("a"), topic, "_b", F.col(split).alias("sa"), F.col(start).alias("s1"), F.col(end).alias("e1"), F.col("_f").alias("f1"))
+    right = held.select(F.col(key).alias("b"), topic, "_b", F.col(split).alias("sb"), F.col(start).alias("s2"), F.col(end).alias("e2"), F.col("_f").alias("f2"))
     fits = (F.col("sa") != F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1"))
-    return left.join(right, topic).where(fits).select("a", "b", topic)
+    return left.join(right, [topic, "_b"]).where(fits & (F.col("_b") == F.greatest("f1", "f2"))).select("a", "b", topic)
 
 
 def best_range(rows: DataFrame, ranges: DataFrame, key: str, start: str, end: str, order: str, low: str, high: str, most: int = 10_000) -> DataFrame:

@@ -220,3 +220,13 @@ def test_empty_tables(spark):
     assert O.jaccard_pairs(empty, "k").count() == 0
     assert O.greedy_accept(empty.select("k"), spark.createDataFrame([], "later long, earlier long"), "k").count() == 0
     assert S.priority_sample(empty, F.col("k"), "k", 0.1).count() == 0
+
+
+def test_range_conflicts_meet_by_blocks_of_values(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("xy"), rng.randrange(3), s := rng.randrange(-40, 40), s + rng.choice([-3, 0, 1, 4, 9])) for i in range(150)]
+    rows += [(150, "x", 1, None, 3), (151, "x", 0, 2, None), (152, None, 0, 1, 2), rows[4], rows[5]]
+    found = J.range_conflicts(spark.createDataFrame(rows, "id long, topic string, split int, s int, e int"), "id", "topic", "split", "s", "e")
+    meets = lambda p, q: None not in (*p, *q) and p[1] == q[1] and p[2] != q[2] and p[0] < q[0] and p[3] <= q[4] and q[3] <= p[4]
+    assert sorted(map(tuple, found.collect())) == sorted((p[0], q[0], p[1]) for p in rows for q in rows if meets(p, q))
+    assert "_b" in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1].split("\n")[0]
