@@ -139,7 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
     picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = rows.toArrow().sort_by("doc_id")
-    return fit(got.column("text").to_pylist(), got.column("toxic").to_numpy(), **options)
+    model = fit(got.column("text").to_pylist(), got.column("toxic").to_numpy(), **options)
+    del got
+    release()  # a pipeline's driver lives on: some 100 MB
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
