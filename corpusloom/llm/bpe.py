@@ -9,11 +9,16 @@ points that follow the pre-tokenizer's pattern::
 and looked up by a 64-bit hash of their code points; the words behind equal hashes are compared, and texts with two
 words of one hash are encoded by the library as they are. The cache is emptied beyond ``max_words``.
 Strings of special tokens are ordinary text.
+
+A word that is not in the cache goes to the library's model as it is: it is cut already, and its bytes are turned into the
+vocabulary's letters for many words at once. Where a tokenizer does more than that before its model (``_bare``), words go
+through all of it.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -114,6 +119,22 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def byte_letters() -> np.ndarray:
+    """Letter of each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the others follow each other from U+0100."""
+    kept = np.zeros(256, bool)
+    kept[0x21:0x7F] = kept[0xA1:0xAD] = kept[0xAE:] = True
+    return np.where(kept, np.arange(256), 0xFF + np.cumsum(~kept)).astype("<u2")
+
+
+def _bare(tokenizer) -> bool:
+    """Whether words that are cut already need nothing but their bytes' letters before the model."""
+    from tokenizers import pre_tokenizers
+
+    before = tokenizer.pre_tokenizer
+    plain = isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and tokenizer.normalizer is None
+    return plain and tokenizer.truncation is None and all(t.special for t in tokenizer.get_added_tokens_decoder().values())
+
+
 def split_long(text: str, limit: int = PASS_CHARS) -> list[str]:
     """Pieces of a very long text that encode as the whole does: cut before a blank between two non-blanks."""
     pieces, at = [], 0
@@ -161,6 +182,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.model = self.tokenizer.model if _bare(self.tokenizer) else None
+        self.letters = byte_letters()
         self.max_words = max_words
         self.clear()
 
@@ -198,7 +221,7 @@ class WordEncoder:
         if not len(at):
             return np.empty(0, np.uint32)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(distinct, at[first], sizes[first], joined, points)
+        slots = self._slots(distinct, at[first], sizes[first], points)
         begin, end = self.ends.all[slots], self.ends.all[slots + 1]
         if not np.array_equal((end - begin)[which], sizes):
             return self._plain(group, counts)
@@ -220,7 +243,19 @@ class WordEncoder:
         np.add.at(counts, [i for i, _ in group], [len(c) for c in coded])
         return np.fromiter((x for c in coded for x in c), np.uint32)
 
-    def _slots(self, distinct: np.ndarray, at: np.ndarray, sizes: np.ndarray, joined: str, points: np.ndarray) -> np.ndarray:
+    def _coded(self, points: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """Ids of each word by the library; ``points``: the words' code points, one word after another."""
+        text, ends = points.tobytes().decode("utf-32-le", "surrogatepass"), np.cumsum(sizes)
+        if self.model is None:
+            words = [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        letters = self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        ends = np.cumsum(width)[ends - 1].tolist()
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(letters[a:b])] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _slots(self, distinct: np.ndarray, at: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> np.ndarray:
         if self.offsets.n + len(distinct) > self.max_words:
             self.clear()
         found = np.full(len(distinct), -1, np.int64)
@@ -231,12 +266,12 @@ class WordEncoder:
                 found[known] = slots[place[known]]
         new = np.flatnonzero(found < 0)
         if len(new):
-            words = [joined[a : a + s] for a, s in zip(at[new].tolist(), sizes[new].tolist(), strict=True)]
-            coded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            said = points[gather(at[new], sizes[new])]
+            coded = self._coded(said, sizes[new])
             found[new] = self.offsets.n - 1 + np.arange(len(new))
-            self.points.extend(points[gather(at[new], sizes[new])])
+            self.points.extend(said)
             self.ends.extend(self.ends.all[-1] + np.cumsum(sizes[new]))
-            self.ids.extend(np.fromiter((x for c in coded for x in c), np.uint32))
+            self.ids.extend(np.fromiter(chain.from_iterable(coded), np.uint32))
             self.offsets.extend(self.offsets.all[-1] + np.cumsum([len(c) for c in coded]))
             many, latest = self.tiers
             latest = self._merged(latest, (distinct[new], found[new].astype(np.int32)))

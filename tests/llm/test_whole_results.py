@@ -230,6 +230,43 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_cost_less_than_whole_library_calls():
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choices("abcdefghilmnoprstuvé", k=rng.randint(4, 10))) for _ in range(100)) for _ in range(100)]
+    path, ratios = bpe.tokenizer_path("byte_bpe_50k.json"), []
+    bpe.char_classes()
+    for _ in range(3):
+        coder = bpe.WordEncoder(path)
+        at = time.process_time()
+        ids, _ = coder.encode(texts)
+        cost = time.process_time() - at
+        plain = bpe.WordEncoder(path).tokenizer
+        at = time.process_time()
+        for t in texts:
+            plain.encode_batch([f" {w}" for w in t.split(" ")], add_special_tokens=False)
+        ratios.append(cost / (time.process_time() - at))
+    assert ids.tolist() == [i for e in plain.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert min(ratios) < 0.85
+
+
+@pytest.mark.parametrize("kind", ["as it is", "an added token", "a normalizer"])
+def test_words_go_to_the_model_only_where_that_is_all(tmp_path, kind):
+    from tokenizers import Tokenizer, normalizers
+
+    whole = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
+    if kind == "an added token":
+        whole.add_tokens(["zebra"])
+    elif kind == "a normalizer":
+        whole.normalizer = normalizers.Lowercase()
+    whole.save(str(tmp_path / "t.json"))
+    coder = bpe.WordEncoder(str(tmp_path / "t.json"))
+    assert (coder.model is not None) == (kind == "as it is")
+    texts = ["zebra", "A zebra's 12 漢字 😀\x00 <|endoftext|>", ""]
+    ids, offsets = coder.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_query_of_token_files_equals_the_library(spark, data, documents):
     coder = bpe.encoder("byte_bpe_50k.json").tokenizer
     at, want = 0, set()
