@@ -2,7 +2,7 @@
 
 Each step joins edges with the least neighbour of a node; the table shrinks to stars around each
 component's least node in a number of rounds that grows with the logarithm of the longest path, and rounds
-go on until nothing changes. Rounds are written to the shared folder. Self-loops, repeated and reversed edges
+go on until nothing changes. Rounds are written to the shared folder, each in place of the one before. Self-loops, repeated and reversed edges
 are allowed; an empty table has no nodes.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stash
+from .common import discard, map_arrow, stash
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +69,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = (mark["n"], mark["x"])
         # large star: every larger neighbour of u is linked with the least of u and its neighbours
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        read, both = now, now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         now = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are linked with the least of them
         now = stash(now, "edges")
+        discard(read)
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         moved = now.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        read, now = now, stash(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(read)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import corpus_pipeline
 from corpusloom.llm import common as common_helpers
@@ -93,3 +94,42 @@ def test_more_ids_than_a_broadcast_holds_shuffle_no_texts(spark, monkeypatch):
     explained = [df._jdf.queryExecution().executedPlan().toString() for df in plans if df.columns == ["k", "text"]]
     assert len(explained) > 4
     assert not [p for p in explained if "SortMergeJoin" in p or "ShuffledHashJoin" in p]
+
+
+def test_groups_that_hardly_link_are_not_sent_once_a_block(spark, monkeypatch):
+    """Sets that share frequent grams and few links: what is shuffled grows with the sets, not with their square, and results are those of a brute force."""
+    rng = random.Random(24)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common = [word() for _ in range(12)]
+    rows = []
+    for _ in range(120):
+        base = [word() for _ in range(30)] + common
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, word()]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = first_of_groups(rows, 4, 85)
+    assert len(want) == 120
+    monkeypatch.setattr(jaccard_join, "GROUP_GRAMS", 600)
+    monkeypatch.setattr(jaccard_join, "INDEX_GRAMS", 900, raising=False)
+    sent, run = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda rows, percent: (sent.append(rows.count()), run(rows, percent))[1])
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == want
+    assert sum(sent) <= 2 * len(rows)
+    monkeypatch.setattr(jaccard_join, "MAX_BLOCKS", 1_000_000)  # by blocks, in turns
+    monkeypatch.setattr(jaccard_join, "TURN_GRAMS", 5_000)
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == want
+
+
+def test_tables_are_deleted_behind_their_last_reader(spark):
+    """Of the written tables, those with all sets, classes and list entries are gone before the result is read."""
+    rng = random.Random(25)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    common = [word() for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join([*(word() for _ in range(30)), *common])) for i in range(80)], "doc_id bigint, text string")
+    shared = common_helpers.shared_folder(spark).removeprefix("file:")
+    there = lambda: {p.name for p in Path(shared, "corpusloom").iterdir()} if Path(shared, "corpusloom").exists() else set()
+    before = there()
+    found = jaccard_join.jaccard_components(docs)
+    left = {name.split("-")[0] for name in there() - before}
+    assert not left & {"sets", "classes", "counts", "touched", "moved", "lists", "candidates"}, left
+    assert found.count() == 80
+    assert spark.conf.get(common_helpers.CLEANUP, None) in (None, "false")
