@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ids in a list that ``range_conflicts`` joins as one at most, or about.
+RANGE_IDS = 256
+
 
 def strict_inner(results: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     """Inner join that fails at run time on a result without a case; cases without results are left out."""
@@ -68,17 +71,31 @@ def in_either(rows: DataFrame, ids: DataFrame, hashes: DataFrame, key: str, dige
 def range_conflicts(rows: DataFrame, key: str, topic: str, split: str, start: str, end: str) -> DataFrame:
     """``(a, b, topic)``: pairs of a topic in different splits with overlapping ranges.
 
-    Rows meet by topic and the blocks of values that their ranges cover, each pair in the first block that both have. A block
-    is as wide as the widest range, so a row is in two at most. A range that ends before it starts overlaps those that hold
-    all between its ends, which have its blocks too.
+    Rows of one topic, split and range meet others as one, ``RANGE_IDS`` ids at a time; all pairs between two such lists are conflicts
+    or none is, so pairs are only made to be returned. Lists meet by topic and the blocks of values that their ranges cover, each pair
+    in the first block that both have. A block is as wide as the widest range, so a list is in two at most; blocks of many rows are
+    dealt to several tasks. A range that ends before it starts overlaps those that hold all between its ends, which have its blocks too.
     """
-    low, high = F.least(start, end), F.greatest(start, end)
+    spark = rows.sparkSession
+    low, high = F.least("_s", "_e"), F.greatest("_s", "_e")
+    rows = rows.select(F.col(key).alias("_id"), F.col(topic).alias("_t"), F.col(split).alias("_p"), F.col(start).alias("_s"), F.col(end).alias("_e")).dropna()
     size = int(rows.agg(F.max(high - low).alias("w")).first()["w"] or 0) + 1
-    held = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_f", F.floor(low / size)).withColumn("_b", F.explode(F.sequence("_f", F.floor(high / size))))
-    left = held.select(F.col(key).alias("a"), topic, "_b", F.col(split).alias("sa"), F.col(start).alias("s1"), F.col(end).alias("e1"), F.col("_f").alias("f1"))
-    right = held.select(F.col(key).alias("b"), topic, "_b", F.col(split).alias("sb"), F.col(start).alias("s2"), F.col(end).alias("e2"), F.col("_f").alias("f2"))
-    fits = (F.col("sa") != F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1"))
-    return left.join(right, [topic, "_b"]).where(fits & (F.col("_b") == F.greatest("f1", "f2"))).select("a", "b", topic)
+    alike = ["_t", "_p", "_s", "_e"]
+    many = rows.groupBy(*alike).agg(F.count("*").alias("_n")).where(F.col("_n") > RANGE_IDS)
+    part = F.coalesce(F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / RANGE_IDS)), F.lit(0))
+    lists = rows.join(many, alike, "left").withColumn("_c", part).groupBy(*alike, "_c").agg(F.collect_list("_id").alias("_ids"))
+    held = lists.withColumn("_f", F.floor(low / size)).withColumn("_b", F.explode(F.sequence("_f", F.floor(high / size))))
+    tasks = F.ceil(F.sqrt(F.sum(F.size("_ids"))) / 64).cast("int")
+    held = held.join(held.groupBy("_t", "_b").agg(tasks.alias("_k")), ["_t", "_b"])
+    left = held.select("_t", "_b", F.pmod(F.xxhash64("_p", "_s", "_e", "_c"), F.col("_k").cast("long")).cast("int").alias("_r"), F.col("_p").alias("p1"), F.col("_s").alias("s1"), F.col("_e").alias("e1"), F.col("_f").alias("f1"), F.col("_ids").alias("x"))
+    right = held.select("_t", "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_r"), F.col("_p").alias("p2"), F.col("_s").alias("s2"), F.col("_e").alias("e2"), F.col("_f").alias("f2"), F.col("_ids").alias("y"))
+    # few bytes make many pairs, so the number of tasks is not left to the bytes
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    by = ["_t", "_b", "_r"]
+    fits = (F.col("p1") < F.col("p2")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")) & (F.col("_b") == F.greatest("f1", "f2"))
+    met = left.repartition(n, *by).join(right.repartition(n, *by), by).where(fits)
+    pairs = met.select("_t", F.explode("x").alias("x"), "y").select("_t", "x", F.explode("y").alias("y")).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("_t").alias(topic))
 
 
 def best_range(rows: DataFrame, ranges: DataFrame, key: str, start: str, end: str, order: str, low: str, high: str, most: int = 10_000) -> DataFrame:

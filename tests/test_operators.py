@@ -2,6 +2,7 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,20 @@ def test_range_conflicts_meet_by_blocks_of_values(spark):
     meets = lambda p, q: None not in (*p, *q) and p[1] == q[1] and p[2] != q[2] and p[0] < q[0] and p[3] <= q[4] and q[3] <= p[4]
     assert sorted(map(tuple, found.collect())) == sorted((p[0], q[0], p[1]) for p in rows for q in rows if meets(p, q))
     assert "_b" in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1].split("\n")[0]
+
+
+def test_range_conflicts_make_only_pairs_that_they_return(spark, monkeypatch):
+    """Rows of one range meet others as one list, hot blocks are dealt out, and ids in several lists or splits are as in a plain join."""
+    monkeypatch.setattr(J, "RANGE_IDS", 8, raising=False)
+    rng = random.Random(6)
+    rows = [(i, "x" if i % 9 else "y", rng.randrange(3), s := 1 + 5 * rng.randrange(60), s + rng.randrange(7)) for i in range(6000)]
+    rows += [(7, "x", (rows[7][2] + 1) % 3, 1, 300), *((6000 + i, "z", i % 2, 4, 4) for i in range(50))]
+    found = J.range_conflicts(spark.createDataFrame(rows, "id long, topic string, split int, s int, e int"), "id", "topic", "split", "s", "e")
+    i, t, p, s, e = (np.array(x) for x in zip(*rows, strict=True))
+    meets = (t[:, None] == t) & (p[:, None] != p) & (i[:, None] < i) & (s[:, None] <= e) & (s <= e[:, None])
+    a, b = np.nonzero(meets)
+    got = found.toPandas().sort_values(["a", "b", "topic"], ignore_index=True)
+    want = np.lexsort((t[a], i[b], i[a]))
+    assert (got["a"].to_numpy() == i[a][want]).all() and (got["b"].to_numpy() == i[b][want]).all() and (got["topic"].to_numpy() == t[a][want]).all()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan.split("Join Inner", 1)[0]
