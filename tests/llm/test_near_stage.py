@@ -100,23 +100,25 @@ def test_groups_that_hardly_link_are_not_sent_once_a_block(spark, monkeypatch):
     """Sets that share frequent grams and few links: what is shuffled grows with the sets, not with their square, and results are those of a brute force."""
     rng = random.Random(24)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    common = [word() for _ in range(12)]
+    passages = [[word() for _ in range(24)] for _ in range(20)]
     rows = []
-    for _ in range(120):
-        base = [word() for _ in range(30)] + common
+    for _ in range(100):
+        base = [w for p in rng.sample(passages, 5) for w in p]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, word()]))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = first_of_groups(rows, 4, 85)
-    assert len(want) == 120
-    monkeypatch.setattr(jaccard_join, "GROUP_GRAMS", 600)
-    monkeypatch.setattr(jaccard_join, "INDEX_GRAMS", 900, raising=False)
+    assert len(want) > 90
+    monkeypatch.setattr(jaccard_join, "LONG", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP_GRAMS", 2_000)
+    monkeypatch.setattr(jaccard_join, "INDEX_GRAMS", 3_000, raising=False)
     sent, run = [], jaccard_join._links
     monkeypatch.setattr(jaccard_join, "_links", lambda rows, percent: (sent.append(rows.count()), run(rows, percent))[1])
     assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == want
-    assert sum(sent) <= 2 * len(rows)
+    assert sum(sent) <= 2 * len(rows), sent
     monkeypatch.setattr(jaccard_join, "MAX_BLOCKS", 1_000_000)  # by blocks, in turns
-    monkeypatch.setattr(jaccard_join, "TURN_GRAMS", 5_000)
+    monkeypatch.setattr(jaccard_join, "TURN_GRAMS", 200_000)
     assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == want
+    assert sum(sent) > 2 * len(rows), sent
 
 
 def test_tables_are_deleted_behind_their_last_reader(spark):
